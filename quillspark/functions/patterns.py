@@ -28,6 +28,8 @@ EMOJI = (
     r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|" + EMOJI_CHAR
     + r"(?:[\x{FE0F}\x{1F3FB}-\x{1F3FF}]|\x{200D}" + EMOJI_CHAR + r")*+)"
 )
+#: The same with a look at the next character first, which settles most positions of a text.
+EMOJI_GUARDED = r"(?=[\x{203C}-\x{1FAFF}])" + EMOJI
 
 
 def literal(text: str) -> str:
@@ -41,14 +43,22 @@ def alternation(literals) -> str:
     return "|".join(literal(s) for s in ordered)
 
 
+def guarded_alternation(literals) -> str:
+    """``alternation`` behind a look at the first character."""
+    firsts = "".join(literal(ch) if ch not in "-^" else "\\" + ch for ch in sorted({s[0] for s in literals}))
+    return f"(?=[{firsts}])(?:{alternation(literals)})"
+
+
 EMOTICON = "(?:" + alternation(C.EMOTICONS) + ")"
 #: Emoticons made of letters only are found as words and compared as a whole.
-_SYMBOL_EMOTICON = "(?:" + alternation(e for e in C.EMOTICONS if not e.isalpha()) + ")"
+_WORD_START_EMOTICON = alternation(e for e in C.EMOTICONS if e[0].isalnum() and not e.isalpha())
+_SYMBOL_EMOTICON = alternation(e for e in C.EMOTICONS if not e[0].isalnum())
 
-#: url | emoticon | emoji | #tag | @mention | word with inner apostrophes | other
+#: url | emoticon | word with inner apostrophes | emoji | #tag | @mention | other.
+#: Words come before what cannot start with a word character: most positions are words.
 SOCIAL_TOKEN = "|".join((
-    URL, _SYMBOL_EMOTICON, EMOJI, HASHTAG, MENTION,
-    f"{WORD_CHAR}+(?:['’]{WORD_CHAR}+)*+", NON_SPACE,
+    URL, _WORD_START_EMOTICON, f"{WORD_CHAR}+(?:['’]{WORD_CHAR}+)*+", HASHTAG, MENTION, f"(?:{_SYMBOL_EMOTICON})",
+    EMOJI, NON_SPACE,
 ))
 
 #: #tag | word with inner hyphens | other

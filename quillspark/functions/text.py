@@ -34,7 +34,7 @@ def lowercase_mentions(text: Column | str) -> Column:
 
 
 def strip_emojis(text: Column | str) -> Column:
-    return F.regexp_replace(as_col(text), P.EMOJI, "")
+    return F.regexp_replace(as_col(text), P.EMOJI_GUARDED, "")
 
 
 def strip_hashtags(text: Column | str) -> Column:
@@ -52,7 +52,7 @@ def strip_url_placeholder(text: Column | str) -> Column:
 
 def strip_emoticons(text: Column | str, emoticons=C.EMOTICONS) -> Column:
     """Delete every known emoticon, the longest match first."""
-    return F.regexp_replace(as_col(text), P.alternation(emoticons), "")
+    return F.regexp_replace(as_col(text), P.guarded_alternation(emoticons), "")
 
 
 def clean_text(text: Column | str, emoticons=C.EMOTICONS) -> Column:

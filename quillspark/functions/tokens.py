@@ -54,7 +54,7 @@ def hashtags_of(tokens: Column | str) -> Column:
 
 def emojis_of(tokens: Column | str) -> Column:
     """Tokens that begin with an emoji."""
-    return F.filter(as_col(tokens), lambda t: t.rlike("^" + P.EMOJI))
+    return F.filter(as_col(tokens), lambda t: t.rlike("^" + P.EMOJI_GUARDED))
 
 
 def emoticons_of(tokens: Column | str, emoticons=C.EMOTICONS) -> Column:
@@ -76,7 +76,7 @@ def clean_tokens(tokens: Column | str, emoticons=C.EMOTICONS) -> Column:
     """
     return F.filter(
         as_col(tokens),
-        lambda t: ~t.isin(*C.MARKER_TOKENS, *emoticons) & ~t.startswith("#") & ~t.rlike("^" + P.EMOJI),
+        lambda t: ~t.isin(*C.MARKER_TOKENS, *emoticons) & ~t.startswith("#") & ~t.rlike("^" + P.EMOJI_GUARDED),
     )
 
 

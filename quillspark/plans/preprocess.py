@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import constants as C
@@ -10,17 +10,29 @@ from quillspark.functions import text as X
 from quillspark.functions import tokens as T
 
 
+def _keep_long(df: DataFrame, carried: list[str], made: dict[str, Column], tokens: str, min_tokens: int) -> DataFrame:
+    """Add the ``made`` columns and drop rows with too few ``tokens``.
+
+    A plain filter on a token list would be pushed below the projection, and
+    every post would be tokenised once to decide and once more to keep.  Here
+    the row is made once and dropped by opening an empty array.
+    """
+    if min_tokens <= 0:
+        return df.select(*carried, *[c.alias(n) for n, c in made.items()])
+    row = F.array(F.struct(*[c.alias(n) for n, c in made.items()]))
+    return df.select(*carried, F.inline(F.filter(row, lambda r: F.size(r[tokens]) >= min_tokens)))
+
+
 def preprocess_classify(df: DataFrame, text_col: str = "text", min_tokens: int = C.MIN_TOKENS) -> DataFrame:
     """Light mode: add ``text_clean``, ``tokens_clean``, ``hashtags``, ``emotes``; short posts drop."""
+    made = {
+        "text_clean": X.clean_text(text_col),
+        "tokens_clean": T.clean_tokens("_tokens"),
+        "hashtags": T.hashtags_of("_tokens"),
+        "emotes": T.extract_emotes("_tokens"),
+    }
     tokens = df.withColumn("_tokens", T.social_tokenize(text_col))
-    out = tokens.select(
-        *df.columns,
-        X.clean_text(text_col).alias("text_clean"),
-        T.clean_tokens("_tokens").alias("tokens_clean"),
-        T.hashtags_of("_tokens").alias("hashtags"),
-        T.extract_emotes("_tokens").alias("emotes"),
-    )
-    return out if min_tokens <= 0 else out.where(F.size("tokens_clean") >= min_tokens)
+    return _keep_long(tokens, df.columns, made, "tokens_clean", min_tokens)
 
 
 def preprocess_topic(
@@ -33,7 +45,6 @@ def preprocess_topic(
     """Aggressive mode: add ``text_norm``, ``tokens_norm``, ``hashtags``; short posts drop."""
     tokens = df.withColumn("_tokens", T.word_tokenize_norm(X.deflood(text_col)))
     content = T.keep_content_tokens(T.remove_punct_tokens(T.remove_stopwords("_tokens", stop_words)))
-    out = tokens.select(
-        *df.columns, T.lemmatize(content, lemmas).alias("tokens_norm"), T.hashtags_of("_tokens").alias("hashtags")
-    ).withColumn("text_norm", F.array_join("tokens_norm", " "))
-    return out if min_tokens <= 0 else out.where(F.size("tokens_norm") >= min_tokens)
+    made = {"tokens_norm": T.lemmatize(content, lemmas), "hashtags": T.hashtags_of("_tokens")}
+    out = _keep_long(tokens, df.columns, made, "tokens_norm", min_tokens)
+    return out.withColumn("text_norm", F.array_join("tokens_norm", " "))
