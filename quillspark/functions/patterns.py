@@ -77,6 +77,8 @@ DIGIT = r"\p{Nd}"
 LINEBREAK = r"[\r\n\f]"
 ASCII_UPPER = r"[A-Z]"
 SPECIAL_CHAR = f"[^a-z .,!?':;{SPACE_BODY}]"
+#: The same; the rarer kinds of space are looked at only where the plain class matches.
+SPECIAL_CHAR_FAST = r"[^a-z .,!?':;\t\n\r\f\x0B](?<!" + SPACE + ")"
 REPEATED_QUESTION = r"\?{2,}"
 REPEATED_PERIOD = r"\.{2,}"
 REPEATED_EXCLAMATION = r"!{2,}"

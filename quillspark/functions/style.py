@@ -1,13 +1,15 @@
 """Style features as column expressions, grouped by level.
 
 Character level reads the text only.  The other levels read the working
-columns of :func:`working_columns`, so the token array is walked once for each
-token set and not once for each feature.
+columns of :func:`token_sets` and :func:`token_counts`, so the token array is
+walked once for each token set and not once for each feature.
 Ratios over an empty denominator are NULL, or 0.0 where noted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,40 +42,55 @@ def pattern_flag(text: Column | str, pattern: str) -> Column:
     return as_col(text).rlike(pattern).cast("int")
 
 
-def character_features(text: Column | str, punctuation_denominator: str = "spaced") -> dict[str, Column]:
+def built(recipes: dict[str, Callable[[], Column]], names) -> dict[str, Column]:
+    """The named columns (all without ``names``); the others are never put together."""
+    return {n: make() for n, make in recipes.items() if names is None or n in names}
+
+
+def character_features(text: Column | str, punctuation_denominator: str = "spaced", names=None) -> dict[str, Column]:
     """Character level.  ``punctuation_denominator='spaced'`` counts the blanks that
     stand between the characters when they are joined by spaces (2n - 1)."""
     text = as_col(text)
     n = F.length(text)
     spaced = 2 * n - 1 if punctuation_denominator == "spaced" else n
-    return {
-        "char_punc_freq": ratio(pattern_hits(text, P.ASCII_PUNCT), spaced),
-        "digit_freq": pattern_freq(text, P.DIGIT),
-        "whitespace_freq": pattern_freq(text, " "),
-        "linebreak_freq": pattern_freq(text, P.LINEBREAK),
-        "uppercased_char_freq": pattern_freq(text, P.ASCII_UPPER),
-        "special_char_freq": pattern_freq(text, P.SPECIAL_CHAR),
-        "repeated_questionmark": pattern_flag(text, P.REPEATED_QUESTION),
-        "repeated_periods": pattern_flag(text, P.REPEATED_PERIOD),
-        "repeated_exclamation": pattern_flag(text, P.REPEATED_EXCLAMATION),
-        "contains_equals": text.contains("=").cast("int"),
+    recipes = {
+        "char_punc_freq": lambda: ratio(pattern_hits(text, P.ASCII_PUNCT), spaced),
+        "digit_freq": lambda: pattern_freq(text, P.DIGIT),
+        "whitespace_freq": lambda: pattern_freq(text, " "),
+        "linebreak_freq": lambda: pattern_freq(text, P.LINEBREAK),
+        "uppercased_char_freq": lambda: pattern_freq(text, P.ASCII_UPPER),
+        "special_char_freq": lambda: pattern_freq(text, P.SPECIAL_CHAR_FAST),
+        "repeated_questionmark": lambda: pattern_flag(text, P.REPEATED_QUESTION),
+        "repeated_periods": lambda: pattern_flag(text, P.REPEATED_PERIOD),
+        "repeated_exclamation": lambda: pattern_flag(text, P.REPEATED_EXCLAMATION),
+        "contains_equals": lambda: text.contains("=").cast("int"),
     }
+    return built(recipes, names)
 
 
-def working_columns(text: Column | str, tokens: Column | str) -> dict[str, Column]:
-    """Token sets that several features share."""
+def token_sets(text: Column | str, tokens: Column | str) -> dict[str, Column]:
+    """First stage of working columns: the token sets that several features share."""
     text, tokens = as_col(text), as_col(tokens)
-    sents = T.split_sentences(text)
-    alpha = F.transform(F.filter(tokens, lambda t: t["is_alpha"]), lambda t: t["text"])
+    surface = F.transform(tokens, lambda t: t["text"])
     return {
         "_n_doc": F.size(tokens),
         "_words": F.transform(F.filter(tokens, lambda t: ~t["is_punct"] & ~t["is_space"]), lambda t: t["text"]),
-        "_alpha": alpha,
-        "_low": F.sort_array(F.transform(alpha, F.lower)),
-        "_sent_lengths": F.transform(sents, F.length),
+        "_alpha": F.transform(F.filter(tokens, lambda t: t["is_alpha"]), lambda t: t["text"]),
+        "_sent_lengths": F.transform(T.split_sentences(text), F.length),
         "_quoted": F.filter(
             T.social_tokenize(F.array_join(T.extract_all(text, P.QUOTED), " ")), lambda t: t.rlike(P.ALL_ALNUM)
         ),
+        "_emojis": T.emojis_of(surface),
+        "_emoticons": T.emoticons_of(surface),
+    }
+
+
+def token_counts() -> dict[str, Column]:
+    """Second stage, from the first."""
+    alpha = F.col("_alpha")
+    return {
+        "_low": F.sort_array(F.transform(alpha, F.lower)),
+        "_n_syllables": total(F.transform(alpha, syllables)),
     }
 
 
@@ -107,6 +124,7 @@ def word_features(
     tokens: Column | str = "tokens",
     emotes: Column | str | None = None,
     nonstandard: Column | str | None = None,
+    names=None,
 ) -> dict[str, Column]:
     """Word level, over the working columns.
 
@@ -115,44 +133,43 @@ def word_features(
     tokens = as_col(tokens)
     words, alpha, low = F.col("_words"), F.col("_alpha"), F.col("_low")
     n_words, n_alpha, n_sents = F.size(words), F.size(alpha), F.size("_sent_lengths")
-    n_syllables = total(F.transform(alpha, syllables))
 
     def tagged(field: str, *values: str) -> Column:
         return ratio(count_where(tokens, lambda t: t["is_alpha"] & t[field].isin(*values)), n_alpha)
 
-    if emotes is None:
-        texts = F.transform(tokens, lambda t: t["text"])
-        n_emotes = F.size(T.emojis_of(texts)) + F.size(T.emoticons_of(texts))
-    else:
-        n_emotes = F.size(as_col(emotes)["emojis"]) + F.size(as_col(emotes)["emoticons"])
-    out = {
-        "total_word_len": n_words.cast("bigint"),
-        "avg_word_len": ratio(total(F.transform(words, F.length)), n_words),
-        "avg_sentence_len_words": ratio(n_words, n_sents),
-        "avg_sentence_len_chars": ratio(total(F.col("_sent_lengths")), n_sents),
-        "uppercased_words": ratio_or_zero(
+    def n_emotes() -> Column:
+        if emotes is None:
+            return F.size("_emojis") + F.size("_emoticons")
+        return F.size(as_col(emotes)["emojis"]) + F.size(as_col(emotes)["emoticons"])
+
+    recipes = {
+        "total_word_len": lambda: n_words.cast("bigint"),
+        "avg_word_len": lambda: ratio(total(F.transform(words, F.length)), n_words),
+        "avg_sentence_len_words": lambda: ratio(n_words, n_sents),
+        "avg_sentence_len_chars": lambda: ratio(total(F.col("_sent_lengths")), n_sents),
+        "uppercased_words": lambda: ratio_or_zero(
             count_where(alpha, lambda t: (t == F.upper(t)) & (t != F.lower(t))), n_alpha
         ),
-        "short_words": ratio_or_zero(count_where(alpha, lambda t: F.length(t) <= 3), n_alpha),
-        "elongated_words": ratio_or_zero(count_where(alpha, lambda t: t.rlike(P.ELONGATED)), n_alpha),
-        "numberlike_tokens": ratio(count_where(tokens, lambda t: t["like_num"]), F.col("_n_doc")),
-        "past_tense_words": tagged("tense", "Past"),
-        "present_tense_words": tagged("tense", "Pres"),
-        "positive_adjectives": tagged("degree", "Pos"),
-        "comp_and_sup_adjectives": tagged("degree", "Cmp", "Sup"),
-        "emotes": ratio(n_emotes, n_words),
-        "quoted_words": ratio(F.size("_quoted"), n_words),
-        "type_token_ratio": ratio_or_zero(F.size(F.array_distinct(alpha)), n_alpha),
-        "hapax_legomena": ratio_or_zero(run_length_count(low, 1), n_alpha),
-        "hapax_dislegomena": ratio_or_zero(run_length_count(low, 2), n_alpha),
-        "syllable_freqs": ratio_or_zero(n_syllables, n_alpha),
-        "readability_flesch_kincaid": 206.835
+        "short_words": lambda: ratio_or_zero(count_where(alpha, lambda t: F.length(t) <= 3), n_alpha),
+        "elongated_words": lambda: ratio_or_zero(count_where(alpha, lambda t: t.rlike(P.ELONGATED)), n_alpha),
+        "numberlike_tokens": lambda: ratio(count_where(tokens, lambda t: t["like_num"]), F.col("_n_doc")),
+        "past_tense_words": lambda: tagged("tense", "Past"),
+        "present_tense_words": lambda: tagged("tense", "Pres"),
+        "positive_adjectives": lambda: tagged("degree", "Pos"),
+        "comp_and_sup_adjectives": lambda: tagged("degree", "Cmp", "Sup"),
+        "emotes": lambda: ratio(n_emotes(), n_words),
+        "quoted_words": lambda: ratio(F.size("_quoted"), n_words),
+        "type_token_ratio": lambda: ratio_or_zero(F.size(F.array_distinct(alpha)), n_alpha),
+        "hapax_legomena": lambda: ratio_or_zero(run_length_count(low, 1), n_alpha),
+        "hapax_dislegomena": lambda: ratio_or_zero(run_length_count(low, 2), n_alpha),
+        "syllable_freqs": lambda: ratio_or_zero(F.col("_n_syllables"), n_alpha),
+        "readability_flesch_kincaid": lambda: 206.835
         - 1.015 * ratio(n_alpha, n_sents)
-        - 84.6 * ratio(n_syllables, n_alpha),
+        - 84.6 * ratio(F.col("_n_syllables"), n_alpha),
     }
     if nonstandard is not None:
-        out["nonstandard_spelling"] = ratio(as_col(nonstandard), n_alpha)
-    return out
+        recipes["nonstandard_spelling"] = lambda: ratio(as_col(nonstandard), n_alpha)
+    return built(recipes, names)
 
 
 def readability_extra(easy_words=C.STOP_WORDS) -> dict[str, Column]:
@@ -176,23 +193,25 @@ def readability_extra(easy_words=C.STOP_WORDS) -> dict[str, Column]:
     }
 
 
-def sentence_features(tokens: Column | str = "tokens") -> dict[str, Column]:
+def sentence_features(tokens: Column | str = "tokens", names=None) -> dict[str, Column]:
     """Sentence level: shares of all tokens."""
     tokens = as_col(tokens)
     n_doc = F.col("_n_doc")
-    return {
-        "stopword_freq": ratio(count_where(tokens, lambda t: t["is_stop"]), n_doc),
-        "syn_punc_freq": ratio(count_where(tokens, lambda t: t["is_punct"]), n_doc),
-        "root_freq": ratio(count_where(tokens, lambda t: (t["dep"] == "ROOT") & ~t["is_space"]), n_doc),
+    recipes = {
+        "stopword_freq": lambda: ratio(count_where(tokens, lambda t: t["is_stop"]), n_doc),
+        "syn_punc_freq": lambda: ratio(count_where(tokens, lambda t: t["is_punct"]), n_doc),
+        "root_freq": lambda: ratio(count_where(tokens, lambda t: (t["dep"] == "ROOT") & ~t["is_space"]), n_doc),
     }
+    return built(recipes, names)
 
 
-def document_features(text: Column | str) -> dict[str, Column]:
+def document_features(text: Column | str, names=None) -> dict[str, Column]:
     """Document level counts."""
-    return {
-        "n_sents": F.size("_sent_lengths").cast("bigint"),
-        "n_mentions": pattern_hits(F.lower(as_col(text)), P.USER_MENTION),
+    recipes = {
+        "n_sents": lambda: F.size("_sent_lengths").cast("bigint"),
+        "n_mentions": lambda: pattern_hits(F.lower(as_col(text)), P.USER_MENTION),
     }
+    return built(recipes, names)
 
 
 def alnum_pos_tags(tokens: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,16 +116,23 @@ def keep_content_tokens(tokens: Column | str) -> Column:
 # -------------------------------------------------------------------- annotation
 
 
-def rule_pos(token: Column, low: Column) -> Column:
-    """Part of speech by word lists, shape and endings."""
-    out = F.when(token.rlike(P.NUMBER) | low.isin(*C.NUMBER_WORDS), "NUM")
-    for tag, words in C.CLOSED_CLASSES:
-        out = out.when(low.isin(*words), tag)
-    adjectives = C.POSITIVE_ADJECTIVES + C.COMPARATIVE_ADJECTIVES + C.SUPERLATIVE_ADJECTIVES
-    out = out.when(low.isin(*adjectives), "ADJ").when(token.rlike(P.ALL_PUNCT), "PUNCT")
+def rule_pos(token: Column, low: Column, alpha: Column) -> Column:
+    """Part of speech by shape, word lists and endings.
+
+    Patterns run on tokens that are not all letters only, and one membership
+    test guards the word lists, so an ordinary word costs little.
+    """
+    lists = [("NUM", C.NUMBER_WORDS), *C.CLOSED_CLASSES]
+    lists.append(("ADJ", C.POSITIVE_ADJECTIVES + C.COMPARATIVE_ADJECTIVES + C.SUPERLATIVE_ADJECTIVES))
+    listed = F.when(low.isin(*lists[0][1]), lists[0][0])
+    for tag, words in lists[1:]:
+        listed = listed.when(low.isin(*words), tag)
+    out = F.when(~alpha & token.rlike(P.NUMBER), "NUM").when(~alpha & token.rlike(P.ALL_PUNCT), "PUNCT")
+    out = out.when(low.isin(*[w for _, words in lists for w in words]), listed)
     for tag, endings in C.SUFFIX_CLASSES:
-        out = out.when((F.length(low) > 4) & low.rlike("(?:" + "|".join(endings) + ")$"), tag)
-    out = out.when(~token.rlike(r"\p{L}"), "SYM")
+        ends = reduce(lambda x, y: x | y, [low.endswith(e) for e in endings])
+        out = out.when((F.length(low) > 4) & ends, tag)
+    out = out.when(~alpha & ~token.rlike(r"\p{L}"), "SYM")
     return out.when(token.rlike(r"^\p{Lu}"), "PROPN").otherwise("NOUN")
 
 
@@ -148,15 +156,15 @@ def annotate(
     text: Column | str,
     *,
     stop_words=C.STOP_WORDS,
-    pos: Callable[[Column, Column], Column] = rule_pos,
+    pos: Callable[[Column, Column, Column], Column] = rule_pos,
     tense: Callable[[Column, Column], Column] = rule_tense,
     degree: Callable[[Column, Column], Column] = rule_degree,
 ) -> Column:
     """Token annotation of a text: one struct per token, sentences in order.
 
     The first token of a sentence stands in for its syntactic root.  The three
-    passes over the array let a later field read an earlier one (lower form,
-    then tag), instead of working it out again inside every condition.
+    passes over the array let a later field read an earlier one (lower form and
+    letters-only flag, then tag), instead of working it out in every condition.
     """
     surface = F.flatten(
         F.transform(
@@ -164,35 +172,35 @@ def annotate(
             lambda s, i: F.transform(
                 social_tokenize(s),
                 lambda t, j: F.struct(
-                    t.alias("text"), F.lower(t).alias("low"), i.cast("int").alias("sent_id"),
-                    (j == 0).alias("first"),
+                    t.alias("text"), F.lower(t).alias("low"), t.rlike(P.ALL_LETTERS).alias("alpha"),
+                    i.cast("int").alias("sent_id"), (j == 0).alias("first"),
                 ),
             ),
         )
     )
-    tagged = F.transform(
-        surface,
-        lambda x: F.struct(
-            x["text"].alias("text"), x["low"].alias("low"), x["sent_id"].alias("sent_id"),
-            x["first"].alias("first"), pos(x["text"], x["low"]).alias("pos"),
-        ),
-    )
-    return F.transform(
-        tagged,
-        lambda x: F.struct(
-            x["text"].alias("text"),
-            x["sent_id"].alias("sent_id"),
-            x["text"].rlike(P.ALL_PUNCT).alias("is_punct"),
-            x["text"].rlike(P.ALL_SPACE).alias("is_space"),
-            x["text"].rlike(P.ALL_LETTERS).alias("is_alpha"),
-            (x["text"].rlike(P.NUMBER) | x["low"].isin(*C.NUMBER_WORDS)).alias("like_num"),
-            x["low"].isin(*stop_words).alias("is_stop"),
-            x["pos"].alias("pos"),
+
+    def tag(x: Column) -> Column:
+        token, low, alpha = x["text"], x["low"], x["alpha"]
+        return F.struct(
+            token.alias("text"), low.alias("low"), x["sent_id"].alias("sent_id"), x["first"].alias("first"),
+            (~alpha & token.rlike(P.ALL_PUNCT)).alias("is_punct"),
+            (~alpha & token.rlike(P.ALL_SPACE)).alias("is_space"),
+            alpha.alias("is_alpha"),
+            ((~alpha & token.rlike(P.NUMBER)) | low.isin(*C.NUMBER_WORDS)).alias("like_num"),
+            low.isin(*stop_words).alias("is_stop"),
+            pos(token, low, alpha).alias("pos"),
+        )
+
+    def finish(x: Column) -> Column:
+        same = ("text", "sent_id", "is_punct", "is_space", "is_alpha", "like_num", "is_stop", "pos")
+        return F.struct(
+            *[x[f].alias(f) for f in same],
             F.when(x["first"], "ROOT").otherwise("dep").alias("dep"),
             tense(x["low"], x["pos"]).alias("tense"),
             degree(x["low"], x["pos"]).alias("degree"),
-        ),
-    )
+        )
+
+    return F.transform(F.transform(surface, tag), finish)
 
 
 # ------------------------------------------------------------------------ n-grams

@@ -14,6 +14,8 @@ from quillspark.functions import style
 from quillspark.functions import tokens as T
 from quillspark.operators.joins import term_join
 
+#: Readability scores on request.
+READABILITY_EXTRA = ["automated_readability", "coleman_liau", "gunning_fog", "dale_chall"]
 LEVELS = ("character_level", "word_level", "sentence_level", "document_level")
 
 
@@ -104,27 +106,27 @@ def extract_features(
     """
     from quillspark.functions.text import lowercase_mentions
 
-    keep = tuple(dict.fromkeys(keep))
+    wanted = [n for n in names if n != "pos_ngrams"] if names else feature_names(vocabulary is not None)
+    if readability and not names:
+        wanted += READABILITY_EXTRA
     extra = [c for c in (tokens_col, emotes_col) if c]
     stage = df.select(id_col, *keep, *extra, lowercase_mentions(text_col).alias("_text"))
-    if tokens_col is None:
-        tokens_col = "_tokens"
-        stage = stage.withColumn(tokens_col, T.annotate("_text"))
-    nonstandard = None
-    if vocabulary is not None:
-        counts = nonstandard_counts(stage, vocabulary, id_col, tokens_col)
-        stage = stage.join(counts, id_col, "left").withColumn("nonstandard", F.coalesce("nonstandard", F.lit(0)))
-        nonstandard = "nonstandard"
-    stage = stage.withColumns(style.working_columns("_text", tokens_col))
-    features = {
-        **style.character_features("_text"),
-        **style.word_features(tokens_col, emotes_col, nonstandard),
-        **style.sentence_features(tokens_col),
-        **style.document_features("_text"),
-    }
-    if readability:
-        features.update(style.readability_extra())
-    wanted = [n for n in (names or features) if n != "pos_ngrams"]
+    features = style.character_features("_text", names=wanted)
+    if len(features) < len(wanted):
+        if tokens_col is None:
+            tokens_col = "_tokens"
+            stage = stage.withColumn(tokens_col, T.annotate("_text"))
+        nonstandard = None
+        if vocabulary is not None and "nonstandard_spelling" in wanted:
+            counts = nonstandard_counts(stage, vocabulary, id_col, tokens_col)
+            stage = stage.join(counts, id_col, "left").withColumn("nonstandard", F.coalesce("nonstandard", F.lit(0)))
+            nonstandard = "nonstandard"
+        stage = stage.withColumns(style.token_sets("_text", tokens_col)).withColumns(style.token_counts())
+        features.update(style.word_features(tokens_col, emotes_col, nonstandard, names=wanted))
+        features.update(style.sentence_features(tokens_col, names=wanted))
+        features.update(style.document_features("_text", names=wanted))
+        if readability:
+            features.update(style.readability_extra())
     return stage.select(id_col, *keep, *[features[n].alias(n) for n in wanted])
 
 
