@@ -206,16 +206,25 @@ def annotate(
 # ------------------------------------------------------------------------ n-grams
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    An expression that is named inside the body of a ``transform`` is worked
+    out again for every element; a bound one is a plain variable there.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_ngrams(tokens: Column | str, n: int, sep: str = " ") -> Column:
     """Runs of ``n`` neighbouring tokens; empty when there are fewer tokens."""
-    tokens = as_col(tokens)
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i: F.array_join(F.slice(tokens, i, n), sep),
-        ),
-    ).otherwise(string_array(()))
+
+    def runs(ts: Column) -> Column:
+        windows = F.transform(
+            F.sequence(F.lit(1), F.size(ts) - (n - 1)), lambda i: F.array_join(F.slice(ts, i, n), sep)
+        )
+        return F.when(F.size(ts) >= n, windows).otherwise(string_array(()))
+
+    return bind(as_col(tokens), runs)
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:

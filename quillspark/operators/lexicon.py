@@ -64,8 +64,9 @@ def lexicon_match(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_
     # one row per (term, kind) with all its categories: the join then never multiplies rows of one key
     terms = lexicon.groupBy("term", "is_prefix").agg(F.sort_array(F.collect_set("category")).alias("categories"))
     lengths = terms.where("is_prefix").agg(F.collect_set(F.length("term"))).scalar()
+    words = words.withColumn("_lengths", lengths)
     beginnings = F.transform(
-        F.filter(lengths, lambda k: k <= F.length("word")),
+        F.filter("_lengths", lambda k: k <= F.length("word")),
         lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("term"), F.lit(True).alias("is_prefix")),
     )
     forms = F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("is_prefix"))), beginnings)
