@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -35,25 +37,32 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
 def stream_append_unseen(stream: DataFrame, store: str, id_col: str = "id", progress: str | None = None):
     """All-time form: each batch adds the rows whose id the stored table does not hold.
 
-    A batch writes its own folder ``batch=<n>`` and reads the folders of earlier
-    batches only, so a batch that is repeated after a failure gives the same result.
+    A batch writes its own folder ``run=<name>/batch=<n>`` and does not read what
+    this batch or a later one of the run has written, so a batch that is repeated
+    after a failure gives the same result.  ``progress`` names the run: the same
+    folder goes on with it, a new one adds to whatever the store holds.
     """
     spark = stream.sparkSession
     schema = stream.schema
+    progress = progress or new_path(spark, "append-unseen-progress")
+    run = hashlib.sha256(progress.encode()).hexdigest()[:16]
+    full = ST.StructType(
+        schema.fields + [ST.StructField("run", ST.StringType()), ST.StructField("batch", ST.LongType())]
+    )
+    # an empty first part, so that the store can be read from the first batch on
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/run=none/batch=0")
 
     def add(batch: DataFrame, batch_id: int) -> None:
         order = [c for c in batch.columns if c != id_col]
-        fresh = first_row_per_key(batch, F.col(id_col), order)
-        if batch_id > 0:
-            with_batch = ST.StructType(schema.fields + [ST.StructField("batch", ST.LongType())])
-            stored = spark.read.schema(with_batch).parquet(store).where(F.col("batch") < batch_id)
-            fresh = fresh.join(stored.select(id_col), id_col, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stored = spark.read.schema(full).parquet(store)
+        earlier = stored.where((F.col("run") != run) | (F.col("batch") < batch_id))
+        unseen = batch.join(earlier.select(id_col), id_col, "left_anti").select(*batch.columns)
+        fresh = first_row_per_key(unseen, F.col(id_col), order)
+        fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(add)
-        .option("checkpointLocation", progress or new_path(spark, "append-unseen-progress"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
     )
 
 
