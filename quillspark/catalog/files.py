@@ -49,9 +49,9 @@ def read_id_lines(spark, sf):
     """Lines ``source text``: a source repeats, so its last line is kept."""
     path = new_path(spark, "id-lines")
     text = F.regexp_replace("text", "[\n\r]", " ")
-    # one ordered file: "last line" is about the order inside a file
+    # files in id order, so that the last line of a source is the one with its largest id
     lines = raw_posts(spark, sf).select("id", F.concat_ws(" ", "user", text).alias("value"))
-    lines.repartitionByRange(1, "id").sortWithinPartitions("id").select("value").write.text(path)
+    lines.repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
     return readers.read_id_lines(spark, path, "background")
 
 

@@ -16,6 +16,7 @@ from quillspark.functions import patterns as P
 from quillspark.functions import style
 from quillspark.functions import tokens as T
 from quillspark.operators import features, lexicon, ngrams, stats
+from quillspark.session import materialize
 
 # -------------------------------------------------------------------------- n-grams
 
@@ -112,7 +113,7 @@ def fit_vocabulary_capped(spark, sf):
 )
 def apply_vocabulary(spark, sf):
     rows = split_posts(spark, sf)
-    vocabulary = ngrams.fit_vocabulary(rows.where("split = 'train'"))
+    vocabulary = materialize(ngrams.fit_vocabulary(rows.where("split = 'train'")), "vocabulary")
     return ngrams.apply_vocabulary(rows.where("split = 'test'"), vocabulary)
 
 

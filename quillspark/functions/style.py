@@ -224,4 +224,4 @@ def alnum_pos_tags(tokens: Column | str) -> Column:
 def pos_ngrams(tokens: Column | str, sizes=(1, 2, 3)) -> Column:
     """Lower-cased tag n-grams; one-letter tags vanish before the n-grams are built."""
     tags = F.filter(F.transform(alnum_pos_tags(tokens), F.lower), lambda t: F.length(t) > 1)
-    return F.concat(*[T.token_ngrams(tags, n) for n in sizes])
+    return T.ngrams_of_sizes(tags, sizes)

@@ -215,16 +215,30 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def token_ngrams(tokens: Column | str, n: int, sep: str = " ") -> Column:
-    """Runs of ``n`` neighbouring tokens; empty when there are fewer tokens."""
+def ngrams_of_sizes(tokens: Column | str, sizes, sep: str = " ") -> Column:
+    """Runs of neighbouring tokens of every size, the shorter sizes first.
 
-    def runs(ts: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(1), F.size(ts) - (n - 1)), lambda i: F.array_join(F.slice(ts, i, n), sep)
-        )
-        return F.when(F.size(ts) >= n, windows).otherwise(string_array(()))
+    Entries are read by place.  (``slice`` copies the whole array on every call,
+    which makes long posts quadratic.)
+    """
+
+    def runs(ts: Column, n: int) -> Column:
+        if n == 1:
+            return ts
+
+        def run(i: Column) -> Column:
+            parts = [F.get(ts, i + k) for k in range(n)]
+            return F.concat_ws(sep, *parts) if sep else F.concat(*parts)
 
-    return bind(as_col(tokens), runs)
+        places = F.sequence(F.lit(0), F.size(ts) - n)
+        return F.when(F.size(ts) >= n, F.transform(places, run)).otherwise(string_array(()))
+
+    return bind(as_col(tokens), lambda ts: F.concat(*[runs(ts, n) for n in sizes]))
+
+
+def token_ngrams(tokens: Column | str, n: int, sep: str = " ") -> Column:
+    """Runs of ``n`` neighbouring tokens; empty when there are fewer tokens."""
+    return ngrams_of_sizes(tokens, (n,), sep)
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:

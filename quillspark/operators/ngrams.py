@@ -7,6 +7,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Imputer, V
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import patterns as P
 from quillspark.functions import tokens as T
 from quillspark.functions.text import as_col
 from quillspark.operators.joins import term_join
@@ -17,8 +18,6 @@ def with_char_ngrams(df: DataFrame, n: int = 3, text_col: str = "text", out: str
 
 
 def with_word_ngrams(df: DataFrame, n: int = 1, text_col: str = "text", out: str = "ngrams") -> DataFrame:
-    from quillspark.functions import patterns as P
-
     return df.withColumn(out, T.token_ngrams(T.extract_all(text_col, P.LONG_WORD), n))
 
 
@@ -43,7 +42,10 @@ def fit_vocabulary(train: DataFrame, ngrams: Column | str = "ngrams", max_vocab:
 def apply_vocabulary(
     df: DataFrame, vocabulary: DataFrame, ngrams: Column | str = "ngrams", id_col: str = "id"
 ) -> DataFrame:
-    """(id, ngram, n) restricted to the vocabulary; n-grams not in it are ignored."""
+    """(id, ngram, n) restricted to the vocabulary; n-grams not in it are ignored.
+
+    The vocabulary is read for a size check and for the join, so give a written table.
+    """
     counts = ngram_counts(df, ngrams, id_col)
     return term_join(counts, vocabulary.select("ngram"), "ngram", "left_semi", salt_by=id_col)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import constants as C
 from quillspark.functions.text import string_array
 from quillspark.operators.joins import term_join
+from quillspark.session import materialize
 
 
 def _pairs(tokens_col: str):
@@ -35,12 +36,18 @@ def phrase_scores(
     and score > threshold; V is the number of distinct tokens and pairs.  Both
     tokens of a kept pair are at least as frequent as the pair, so only tokens
     with ``min_count`` occurrences take part in the joins.
+
+    The two count tables are written once: they are read for V, for the size
+    check of the join and for the join itself, and the corpus only for them.
     """
-    singles = df.select(F.explode(tokens_col).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    pairs = (
+    singles = materialize(
+        df.select(F.explode(tokens_col).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "token-counts"
+    )
+    pairs = materialize(
         df.select(F.explode(_pairs(tokens_col)).alias("p"))
         .groupBy("p.a", "p.b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "pair-counts",
     )
     vocabulary = singles.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
     frequent = singles.where(F.col("n") >= min_count)
@@ -65,16 +72,15 @@ def append_phrases(
     tokens = F.col(tokens_col)
     places = df.select(id_col, F.explode(_pairs(tokens_col)).alias("p")).select(id_col, "p.i", "p.a", "p.b")
     found = term_join(places, phrases.select("a", "b"), ["a", "b"], "left_semi", salt_by=id_col)
-    starts = found.groupBy(id_col).agg(F.sort_array(F.collect_list("i")).alias("_at"))
-    # walk the candidate starts once: taken is an array, last the latest start taken
-    walk = F.aggregate(
-        F.col("_at"),
-        F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("taken")),
-        lambda acc, i: F.when(i > acc["last"] + 1, F.struct(i.alias("last"), F.array_append(acc["taken"], i).alias("taken"))).otherwise(acc),
-        lambda acc: acc["taken"],
+    # candidates at neighbouring places overlap; of such a run every second one is taken, from the first
+    in_post = Window.partitionBy(id_col).orderBy("i")
+    in_run = Window.partitionBy(id_col, "run").orderBy("i")
+    chosen = found.select(id_col, "i", (F.col("i") - F.row_number().over(in_post)).alias("run")).withColumn(
+        "k", F.row_number().over(in_run)
     )
+    starts = chosen.where("k % 2 = 1").groupBy(id_col).agg(F.sort_array(F.collect_list("i")).alias("_at"))
     joined = df.join(starts, id_col, "left").withColumn(
-        "_taken", F.when(F.col("_at").isNotNull(), walk).otherwise(F.array().cast("array<int>"))
+        "_taken", F.coalesce("_at", F.array().cast("array<int>"))
     )
     phrase = F.transform(
         "_taken",
@@ -83,13 +89,12 @@ def append_phrases(
         ),
     )
     numbered = F.transform(tokens, lambda t, j: F.struct((j + 1).cast("int").alias("i"), t.alias("t")))
-    holding = F.filter(
-        numbered,
-        lambda x: x["t"].contains("_")
-        & ~F.array_contains("_taken", x["i"])
-        & ~F.array_contains("_taken", x["i"] - 1),
+    holding = F.transform(F.filter(numbered, lambda x: x["t"].contains("_")), lambda x: x["i"])
+    covered = F.concat("_taken", F.transform("_taken", lambda i: i + 1))
+    lonely = F.transform(
+        F.array_except(holding, covered), lambda i: F.struct(i.alias("i"), F.element_at(tokens, i).alias("t"))
     )
-    ordered = F.sort_array(F.concat(phrase, holding))
+    ordered = F.sort_array(F.concat(phrase, lonely))
     appended = F.concat(tokens, F.coalesce(F.transform(ordered, lambda x: x["t"]), string_array(())))
     rest = [c for c in df.columns if c != out]
     return joined.select(*rest, appended.alias(out))

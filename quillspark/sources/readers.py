@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -48,17 +48,20 @@ def read_accounts(spark: SparkSession, path: str, handle_column: int) -> DataFra
     return table.select(F.col(f"`{table.columns[handle_column]}`").alias("handle"))
 
 
-def parse_id_lines(lines: DataFrame, label: str, order_col: str | None = None) -> DataFrame:
-    """Lines ``id text`` to (id, text, label), cut at the first blank; the last line of an id wins."""
+def parse_id_lines(lines: DataFrame, label: str, order: Column) -> DataFrame:
+    """Lines ``id text`` to (id, text, label), cut at the first blank; the last line of an id by ``order`` wins."""
     parts = F.split(F.col("value"), " ", 2)
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
     rows = lines.select(parts[0].alias("id"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"), order.alias("_line"))
     return rows.groupBy("id").agg(F.max_by("text", "_line").alias("text")).withColumn("label", F.lit(label))
 
 
 def read_id_lines(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """Text files of ``id text`` lines.  Line order inside a file is kept."""
-    return parse_id_lines(spark.read.text(path), label)
+    """Text files of ``id text`` lines, in the order of their names and of the lines inside.
+
+    A file that is read in several blocks keeps its order through the block's offset.
+    """
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return parse_id_lines(spark.read.text(path), label, order)
 
 
 def fill_headers(names: list[str | None]) -> list[str]:

@@ -56,8 +56,8 @@ def stream_append_unseen(stream: DataFrame, store: str, id_col: str = "id", prog
         order = [c for c in batch.columns if c != id_col]
         stored = spark.read.schema(full).parquet(store)
         earlier = stored.where((F.col("run") != run) | (F.col("batch") < batch_id))
-        unseen = batch.join(earlier.select(id_col), id_col, "left_anti").select(*batch.columns)
-        fresh = first_row_per_key(unseen, F.col(id_col), order)
+        once = first_row_per_key(batch, F.col(id_col), order)
+        fresh = once.join(earlier.select(id_col), id_col, "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch={batch_id}")
 
     return (
