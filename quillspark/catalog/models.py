@@ -10,6 +10,7 @@ from quillspark.catalog.base import LABELS_CTE, MASKED_CTE, RAW_CTE, labelled, m
 from quillspark.catalog.styles import CHAR_SQL
 from quillspark.catalog.vocabularies import _SPLIT_WORDS, split_posts
 from quillspark.functions import constants as C
+from quillspark.functions.rows import explode_rows
 from quillspark.operators import classify, evaluate, explain, features, filters, ngrams, splits
 from quillspark.plans import style as style_plan
 from quillspark.session import materialize, new_path
@@ -146,7 +147,7 @@ def train_naive_bayes(spark, sf):
 )
 def naive_bayes_log_probabilities(spark, sf):
     train = split_posts(spark, sf).where("split = 'train'")
-    counts = train.select("label", F.explode("ngrams").alias("ngram")).groupBy("label", "ngram").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_rows(train, ["label"], "ngrams", "ngram").groupBy("label", "ngram").agg(F.count(F.lit(1)).alias("n"))
     out = classify.naive_bayes_log_probabilities(counts)
     return out.withColumn("log_prob", r9("log_prob"))
 

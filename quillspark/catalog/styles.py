@@ -14,6 +14,7 @@ from quillspark.functions import patterns as P
 from quillspark.functions import style
 from quillspark.functions import text as X
 from quillspark.functions import tokens as T
+from quillspark.functions.rows import explode_rows
 from quillspark.operators import features, filters, joins
 from quillspark.plans import style as style_plan
 
@@ -200,7 +201,7 @@ def rounded(df, names):
 
 def vocabulary(spark, sf):
     """Known words: the words of the benchmark texts."""
-    words = table(spark, sf, "benchmark").select(F.explode(T.extract_all(F.lower("text"), r"\p{L}+")).alias("word"))
+    words = explode_rows(table(spark, sf, "benchmark"), [], T.extract_all(F.lower("text"), r"\p{L}+"), "word")
     return words.distinct()
 
 

@@ -15,6 +15,7 @@ from quillspark.functions import constants as C
 from quillspark.functions import patterns as P
 from quillspark.functions import style
 from quillspark.functions import tokens as T
+from quillspark.functions.rows import explode_rows
 from quillspark.operators import features, lexicon, ngrams, stats
 from quillspark.session import materialize
 
@@ -197,7 +198,7 @@ def lexicon_match_patterns(spark, sf):
 def lexicon_equi_join(spark, sf):
     from quillspark.operators.joins import term_join
 
-    words = masked(spark, sf).select("id", F.explode(T.plain_words(F.lower("text"))).alias("word"))
+    words = explode_rows(masked(spark, sf), ["id"], T.plain_words(F.lower("text")), "word")
     counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     terms = lexicon_df(spark).where("NOT is_prefix").select(F.col("term").alias("word")).distinct()
     return term_join(counted, terms, "word", "left_semi", salt_by="id")
@@ -211,7 +212,7 @@ def lexicon_equi_join(spark, sf):
 def stopword_anti_join(spark, sf):
     from quillspark.operators.joins import term_join
 
-    words = masked(spark, sf).select("id", F.explode(T.plain_words(F.lower("text"))).alias("word"))
+    words = explode_rows(masked(spark, sf), ["id"], T.plain_words(F.lower("text")), "word")
     stop = spark.createDataFrame([(w,) for w in C.STOP_WORDS], "word string")
     return term_join(words, stop, "word", "left_anti", salt_by="id").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 

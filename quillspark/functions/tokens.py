@@ -248,5 +248,4 @@ def char_ngrams(text: Column | str, n: int) -> Column:
     (``substring(text, i, n)`` would scan from the start for every ``i``).
     """
     collapsed = F.regexp_replace(as_col(text), f"{P.SPACE}{{2,}}", " ")
-    chars = extract_all(collapsed, "(?s).")
-    return token_ngrams(chars, n, "")
+    return F.when(F.length(collapsed) >= n, token_ngrams(F.split(collapsed, ""), n, "")).otherwise(string_array(()))

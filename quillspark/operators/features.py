@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as ST
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
 from quillspark.functions import style
 from quillspark.functions import tokens as T
@@ -76,7 +78,7 @@ def nonstandard_counts(
     words = F.array_distinct(
         F.transform(F.filter(F.col(tokens_col), lambda t: t["is_alpha"]), lambda t: F.lower(t["text"]))
     )
-    exploded = df.select(id_col, F.explode(words).alias(word_col))
+    exploded = explode_rows(df, [id_col], words, word_col)
     unknown = term_join(exploded, vocabulary.select(word_col), word_col, "left_anti", salt_by=id_col)
     return unknown.groupBy(id_col).agg(F.count(F.lit(1)).alias("nonstandard"))
 
@@ -139,7 +141,7 @@ def feature_names(with_vocabulary: bool = False, levels=LEVELS) -> list[str]:
 def pos_freq(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """(id, pos, freq): share of each tag among the alphanumeric tokens; absent tags have no row."""
     tags = df.select(id_col, style.alnum_pos_tags(tokens_col).alias("tags"))
-    exploded = tags.select(id_col, F.size("tags").alias("n_tags"), F.explode("tags").alias("pos"))
+    exploded = explode_rows(tags, [id_col, F.size("tags").alias("n_tags")], "tags", "pos")
     counts = exploded.groupBy(id_col, "pos", "n_tags").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(id_col, "pos", (F.col("n") / F.col("n_tags")).alias("freq"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import patterns as P
 from quillspark.functions import style
 from quillspark.functions import tokens as T
@@ -59,7 +60,7 @@ def lexicon_match(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_
     terms on the beginnings of the word that are as long as some prefix term.
     """
     lexicon = lexicon.select("category", F.lower("term").alias("term"), "is_prefix").distinct()
-    words = df.select(id_col, F.explode(T.plain_words(F.lower(F.col(text_col)))).alias("word"))
+    words = explode_rows(df, [id_col], T.plain_words(F.lower(F.col(text_col))), "word")
     words = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
     # one row per (term, kind) with all its categories: the join then never multiplies rows of one key
     terms = lexicon.groupBy("term", "is_prefix").agg(F.sort_array(F.collect_set("category")).alias("categories"))
@@ -70,7 +71,7 @@ def lexicon_match(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_
         lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("term"), F.lit(True).alias("is_prefix")),
     )
     forms = F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("is_prefix"))), beginnings)
-    probes = words.select(id_col, "word", "n", F.explode(forms).alias("f")).select(
+    probes = explode_rows(words, [id_col, "word", "n"], forms, "f").select(
         id_col, "word", "n", "f.term", "f.is_prefix"
     )
     hits = term_join(probes, terms, ["term", "is_prefix"], salt_by=id_col)

@@ -7,6 +7,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Imputer, V
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import patterns as P
 from quillspark.functions import tokens as T
 from quillspark.functions.text import as_col
@@ -23,19 +24,19 @@ def with_word_ngrams(df: DataFrame, n: int = 1, text_col: str = "text", out: str
 
 def ngram_counts(df: DataFrame, ngrams: Column | str = "ngrams", id_col: str = "id") -> DataFrame:
     """(id, ngram, n): all rows of a post sit in one partition, so the shuffle gets each pair once."""
-    exploded = df.select(id_col, F.explode(as_col(ngrams)).alias("ngram"))
+    exploded = explode_rows(df, [id_col], ngrams, "ngram")
     return exploded.groupBy(id_col, "ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngram_totals(df: DataFrame, ngrams: Column | str = "ngrams") -> DataFrame:
     """Corpus total of each n-gram, most frequent first."""
-    exploded = df.select(F.explode(as_col(ngrams)).alias("ngram"))
+    exploded = explode_rows(df, [], ngrams, "ngram")
     return exploded.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("ngram"))
 
 
 def fit_vocabulary(train: DataFrame, ngrams: Column | str = "ngrams", max_vocab: int | None = None) -> DataFrame:
     """(ngram, total) of the training rows; ``max_vocab`` keeps the most frequent."""
-    totals = train.select(F.explode(as_col(ngrams)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("total"))
+    totals = explode_rows(train, [], ngrams, "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("total"))
     return totals if max_vocab is None else totals.orderBy(F.desc("total"), F.asc("ngram")).limit(max_vocab)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
 from quillspark.functions.text import string_array
 from quillspark.operators.joins import term_join
@@ -41,10 +42,10 @@ def phrase_scores(
     check of the join and for the join itself, and the corpus only for them.
     """
     singles = materialize(
-        df.select(F.explode(tokens_col).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "token-counts"
+        explode_rows(df, [], tokens_col, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")), "token-counts"
     )
     pairs = materialize(
-        df.select(F.explode(_pairs(tokens_col)).alias("p"))
+        explode_rows(df, [], _pairs(tokens_col), "p")
         .groupBy("p.a", "p.b")
         .agg(F.count(F.lit(1)).alias("n")),
         "pair-counts",
@@ -70,7 +71,7 @@ def append_phrases(
     """
     out = out or tokens_col
     tokens = F.col(tokens_col)
-    places = df.select(id_col, F.explode(_pairs(tokens_col)).alias("p")).select(id_col, "p.i", "p.a", "p.b")
+    places = explode_rows(df, [id_col], _pairs(tokens_col), "p").select(id_col, "p.i", "p.a", "p.b")
     found = term_join(places, phrases.select("a", "b"), ["a", "b"], "left_semi", salt_by=id_col)
     # candidates at neighbouring places overlap; of such a run every second one is taken, from the first
     in_post = Window.partitionBy(id_col).orderBy("i")

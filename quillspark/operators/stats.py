@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions.text import as_col
 
 
@@ -22,7 +23,7 @@ def _totals(df: DataFrame, n_tokens: Column, n_kept: Column, n_chars: Column, to
     per_post = df.select(
         n_tokens.cast("bigint").alias("t"), n_kept.cast("bigint").alias("k"), n_chars.cast("bigint").alias("c")
     )
-    distinct = df.select(F.explode(tokens).alias("token")).agg(F.countDistinct("token").alias("d")).scalar()
+    distinct = explode_rows(df, [], tokens, "token").agg(F.countDistinct("token").alias("d")).scalar()
     return per_post.agg(
         F.count(F.lit(1)).alias("n_posts"),
         F.sum("t").alias("total_tokens"),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
 from quillspark.functions.text import as_col
 
 
 def term_counts(df: DataFrame, tokens: Column | str) -> DataFrame:
     """(term, n) over all posts.  Counted within each input partition before the shuffle."""
-    return df.select(F.explode(as_col(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return explode_rows(df, [], tokens, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_terms(df: DataFrame, tokens: Column | str, k: int = C.TOP_TERMS) -> DataFrame:

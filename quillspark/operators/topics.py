@@ -9,6 +9,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
 from quillspark.operators.joins import term_join
 
@@ -27,7 +28,7 @@ def build_dictionary(
     """
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     freq = (
-        df.select(F.explode(F.array_distinct(tokens_col)).alias("term"))
+        explode_rows(df, [], F.array_distinct(tokens_col), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("doc_freq"))
     )
@@ -46,7 +47,7 @@ def dictionary_report(df: DataFrame, dictionary: DataFrame) -> DataFrame:
 def doc_term_matrix(df: DataFrame, dictionary: DataFrame, tokens_col: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, term_id, n) for the terms of the dictionary; counted per post before the join."""
     counts = (
-        df.select(id_col, F.explode(tokens_col).alias("term"))
+        explode_rows(df, [id_col], tokens_col, "term")
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -105,7 +106,7 @@ def umass_coherence(
     posts with the same set are counted together before a set is opened into
     its pairs, so the pairs of a post are never written out.
     """
-    words = df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("term"))
+    words = explode_rows(df, [id_col], F.array_distinct(tokens_col), "term")
     listed = topics.groupBy("term").agg(F.collect_set(F.struct("topic", "rank")).alias("uses"))
     hits = term_join(words, listed, "term", salt_by=id_col).select(id_col, F.explode("uses").alias("u"))
     sets = hits.groupBy(id_col, F.col("u.topic").alias("topic")).agg(

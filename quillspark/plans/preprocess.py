@@ -20,7 +20,8 @@ def _keep_long(df: DataFrame, carried: list[str], made: dict[str, Column], token
     if min_tokens <= 0:
         return df.select(*carried, *[c.alias(n) for n, c in made.items()])
     row = F.array(F.struct(*[c.alias(n) for n, c in made.items()]))
-    return df.select(*carried, F.inline(F.filter(row, lambda r: F.size(r[tokens]) >= min_tokens)))
+    opened = df.select(*carried, F.inline_outer(F.filter(row, lambda r: F.size(r[tokens]) >= min_tokens)))
+    return opened.where(F.col(tokens).isNotNull())
 
 
 def preprocess_classify(df: DataFrame, text_col: str = "text", min_tokens: int = C.MIN_TOKENS) -> DataFrame:
