@@ -46,6 +46,12 @@ def split_sentences(text: Column | str) -> Column:
     return F.filter(trimmed, lambda s: s != "")
 
 
+def letter_words(text: Column | str) -> Column:
+    """The tokens of the annotation that are all letters, without building the annotation."""
+    surface = F.flatten(F.transform(split_sentences(text), social_tokenize))
+    return F.filter(surface, lambda t: t.rlike(P.ALL_LETTERS))
+
+
 # ------------------------------------------------------------------ token filters
 
 

@@ -69,15 +69,23 @@ def retag(df: DataFrame, tag_lexicon: DataFrame, id_col: str = "id", tokens_col:
 
 
 def nonstandard_counts(
-    df: DataFrame, vocabulary: DataFrame, id_col: str = "id", tokens_col: str = "tokens", word_col: str = "word"
+    df: DataFrame,
+    vocabulary: DataFrame,
+    id_col: str = "id",
+    tokens_col: str | None = "tokens",
+    text_col: str = "text",
+    word_col: str = "word",
 ) -> DataFrame:
     """(id, nonstandard): distinct lower-cased words of a post that the vocabulary does not hold.
 
-    Posts without any are left out.
+    Posts without any are left out.  Without ``tokens_col`` the text is split
+    here, which is far cheaper than to annotate it for this branch once more.
     """
-    words = F.array_distinct(
-        F.transform(F.filter(F.col(tokens_col), lambda t: t["is_alpha"]), lambda t: F.lower(t["text"]))
-    )
+    if tokens_col is None:
+        alpha = T.letter_words(text_col)
+    else:
+        alpha = F.transform(F.filter(F.col(tokens_col), lambda t: t["is_alpha"]), lambda t: t["text"])
+    words = F.array_distinct(F.transform(alpha, F.lower))
     exploded = explode_rows(df, [id_col], words, word_col)
     unknown = term_join(exploded, vocabulary.select(word_col), word_col, "left_anti", salt_by=id_col)
     return unknown.groupBy(id_col).agg(F.count(F.lit(1)).alias("nonstandard"))
@@ -115,14 +123,14 @@ def extract_features(
     stage = df.select(id_col, *keep, *extra, lowercase_mentions(text_col).alias("_text"))
     features = style.character_features("_text", names=wanted)
     if len(features) < len(wanted):
-        if tokens_col is None:
-            tokens_col = "_tokens"
-            stage = stage.withColumn(tokens_col, T.annotate("_text"))
         nonstandard = None
         if vocabulary is not None and "nonstandard_spelling" in wanted:
-            counts = nonstandard_counts(stage, vocabulary, id_col, tokens_col)
+            counts = nonstandard_counts(stage, vocabulary, id_col, tokens_col, "_text")
             stage = stage.join(counts, id_col, "left").withColumn("nonstandard", F.coalesce("nonstandard", F.lit(0)))
             nonstandard = "nonstandard"
+        if tokens_col is None:
+            tokens_col = "_tokens"
+            stage = stage.withColumn(tokens_col, T.annotate("_text"))
         stage = stage.withColumns(style.token_sets("_text", tokens_col)).withColumns(style.token_counts())
         features.update(style.word_features(tokens_col, emotes_col, nonstandard, names=wanted))
         features.update(style.sentence_features(tokens_col, names=wanted))
