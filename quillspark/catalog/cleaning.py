@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.catalog.base import (
-    MASKED_CTE, NORM_SQL, POSTS_CTE, RAW_CTE, SOCIAL_SQL, STOP_SQL, LABELS_CTE, hits, labelled, lit, masked, mask_sql,
-    posts, query, r9, raw_posts, re2, sql_list, table, unnest_cte,
+    MASKED_CTE, NORM_SQL, POSTS_CTE, RAW_CTE, SOCIAL_SQL, STOP_SQL, hits, lit, masked, posts, query,
+    raw_posts, re2, sql_list, table, unnest_cte,
 )
 from quillspark.functions import constants as C
 from quillspark.functions import patterns as P

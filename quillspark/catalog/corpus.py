@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.catalog.base import (
-    LABELS_CTE, MASKED_CTE, POSTS_CTE, RAW_CTE, STOP_SQL, dated, labelled, mask_sql, masked, posts, query, r9, raw_posts,
-    spread, table,
+    MASKED_CTE, POSTS_CTE, RAW_CTE, dated, masked, posts, query, raw_posts, table,
 )
 from quillspark.catalog.cleaning import CLASSIFY_CTE, TOPIC_CTE, topic_posts
 from quillspark.functions import text as X

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.catalog.base import (
-    MASKED_CTE, POSTS_CTE, RAW_CTE, dated, lit, masked, mask_sql, posts, query, r9, raw_posts, re2, table, unnest_cte,
-)
-from quillspark.catalog.cleaning import CLASSIFY_CTE, TOPIC_CTE, topic_posts
+from quillspark.catalog.base import MASKED_CTE, POSTS_CTE, masked, mask_sql, posts, query, raw_posts, table
+from quillspark.catalog.cleaning import TOPIC_CTE, topic_posts
 from quillspark.catalog.models import GUESS_CTE, guesses
 from quillspark.catalog.styles import CHAR_SQL, _sql_value, rounded
 from quillspark.operators import features, terms

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quillspark.catalog.base import LABELS_CTE, MASKED_CTE, RAW_CTE, labelled, masked, query, r9, raw_posts, re2, table
+from quillspark.catalog.base import LABELS_CTE, MASKED_CTE, labelled, query, r9, raw_posts, table
 from quillspark.catalog.styles import CHAR_SQL
 from quillspark.catalog.vocabularies import _SPLIT_WORDS, split_posts
 from quillspark.functions import constants as C

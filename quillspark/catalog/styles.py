@@ -7,7 +7,7 @@ import string
 from pyspark.sql import functions as F
 
 from quillspark.catalog.base import (
-    LABELS_CTE, MASKED_CTE, RAW_CTE, SOCIAL_SQL, hits, labelled, lit, masked, query, r9, re2, sql_list, table, unnest_cte,
+    MASKED_CTE, RAW_CTE, SOCIAL_SQL, hits, lit, masked, query, r9, re2, sql_list, table, unnest_cte,
 )
 from quillspark.functions import constants as C
 from quillspark.functions import patterns as P

@@ -6,8 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quillspark.catalog.base import (
-    LABELS_CTE, MASKED_CTE, RAW_CTE, dated, hits, labelled, lit, masked, query, r9, raw_posts, re2, spread, sql_list, table,
-    unnest_cte,
+    MASKED_CTE, lit, masked, query, raw_posts, re2, sql_list, table, unnest_cte,
 )
 from quillspark.catalog.corpus import SPLIT_CTE, split_table
 from quillspark.catalog.styles import ANN_CTE, annotated

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillspark.functions.rows import explode_rows
 from quillspark.functions import patterns as P
 from quillspark.functions import tokens as T
-from quillspark.functions.text import as_col
 from quillspark.operators.joins import term_join
 
 

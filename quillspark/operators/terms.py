@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
-from quillspark.functions.text import as_col
 
 
 def term_counts(df: DataFrame, tokens: Column | str) -> DataFrame:
