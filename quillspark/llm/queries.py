@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality
+from quillspark.llm import mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,32 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(base)).alias("base_failed"), quality.passes(full).alias("kept"), "failed",
     )
+
+
+MIXING_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key
+           FROM documents),
+blocks AS (SELECT source, substr(key, 1, {mixing.BLOCK_DIGITS}) AS block, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+s0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM blocks GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM s0),
+s2 AS (SELECT *, [3, 1, 2][source_no % 3 + 1]::DOUBLE AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total, 2.0::DOUBLE * source_size AS cap FROM s1),
+s3 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+       / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+goals AS (SELECT source, source_no, source_size, least(cap, weight * max(CASE WHEN cap / weight >= level THEN level END) OVER ()) AS target FROM s3),
+rounds AS (SELECT b.source, b.block, g.source_no, b.words, round(g.target)::BIGINT AS goal, r.round,
+           md5('{mixing.SEED}:' || r.round || ':' || g.source_no || ':' || b.block) AS place
+           FROM blocks b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source CROSS JOIN (VALUES (0), (1)) r(round) WHERE b.words > 0),
+draws AS (SELECT source, block, least(words, goal - (sum(words) OVER (PARTITION BY source_no ORDER BY round, place, block) - words)) AS part FROM rounds),
+run AS (SELECT *, sum(size) OVER (PARTITION BY source, substr(key, 1, {mixing.BLOCK_DIGITS}) ORDER BY key, doc_id) - size AS start FROM d),
+got AS (SELECT r.doc_id, sum(greatest(0, least(r.size, w.part - r.start))) AS taken FROM run r
+        JOIN draws w ON r.source IS NOT DISTINCT FROM w.source AND substr(r.key, 1, {mixing.BLOCK_DIGITS}) = w.block AND w.part > 0 GROUP BY r.doc_id)
+SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(t.taken, 0)::BIGINT AS taken
+FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN got t USING (doc_id)
+"""
+
+
+@query("op9_mixing", MIXING_SQL)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, its source's size and target, and the words that the mix takes of it."""
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("draws")).alias("taken"))
