@@ -96,3 +96,14 @@ def window_hashes(codes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
             power = power * step
     starts = np.repeat(bounds[:-1] - inside[:-1], counts) + np.arange(inside[-1])
     return mix(total[starts]), inside
+
+
+def slices(batches, column: str, limit: int = 4 << 20):
+    """The batches cut into runs of rows with about ``limit`` bytes of text each, so that long texts do not add up."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes.astype(np.int64) + 64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end > start:
+                yield batch.slice(start, end - start)
