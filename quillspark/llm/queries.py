@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, packing, quality
+from quillspark.llm import minhash, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in the packed sequences."""
     rows = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_bag_minhash")
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and whether it is the one to keep."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
