@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import minhash, mixing, packing, quality
+from quillspark.llm import minhash, mixing, nearvec, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and whether it is the one to keep."""
     return minhash.classes(table(spark, sf_dir, "documents"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(node, seen) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id))::BIGINT AS component_id,
+       e.vec_id <= coalesce(c.m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) d ON d.a = e.vec_id
+LEFT JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) c ON c.node = e.vec_id
+"""
+
+
+@query("op7_near_vectors", VECTORS_SQL)
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links, its component and whether it stands for it."""
+    return nearvec.near_vectors(table(spark, sf_dir, "embeddings"))
