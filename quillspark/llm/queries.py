@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import minhash, mixing, nearvec, packing, quality
+from quillspark.llm import linededup, minhash, mixing, nearvec, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,15 @@ LEFT JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) c ON c.node = e
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's number of links, its component and whether it stands for it."""
     return nearvec.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its lines that hold a word and the numbers of those that repeat an earlier one."""
+    docs = table(spark, sf_dir, "documents")
+    found = linededup.repeated_lines(docs)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("row"))
+    return ids.join(found, ["doc_id", "row"], "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.concat_ws(",", F.col("removed").cast("array<string>")), F.lit("")).alias("removed"),
+    )
