@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import linededup, minhash, mixing, nearvec, packing, quality
+from quillspark.llm import langid, linededup, minhash, mixing, nearvec, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.concat_ws(",", F.col("removed").cast("array<string>")), F.lit("")).alias("removed"),
     )
+
+
+def fold(doc_id: str, parts: int):
+    """Which of so many parts a document falls into, by the checksum of its id as text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from the documents outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, doc_id=F.col("doc_id"), held_out=F.col("held_out"))
