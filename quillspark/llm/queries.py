@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, linededup, minhash, mixing, nearvec, packing, quality
+from quillspark.llm import langid, linededup, minhash, mixing, nearvec, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, doc_id=F.col("doc_id"), held_out=F.col("held_out"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS last FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM q
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, found again through the capture index, and read back."""
+    pages = table(spark, sf_dir, "pages")
+    _, index = warc.archive(pages)
+    key = warc.capture_key(F.col("url"), F.col("page_id"))
+    found = warc.lookup(index, pages.select(key.alias("low"), key.alias("high")))
+    return warc.digests(warc.read_records(found)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
