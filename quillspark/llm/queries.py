@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, linededup, minhash, mixing, nearvec, packing, quality, warc
+from quillspark.llm import langid, linededup, lm, minhash, mixing, nearvec, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = warc.capture_key(F.col("url"), F.col("page_id"))
     found = warc.lookup(index, pages.select(key.alias("low"), key.alias("high")))
     return warc.digests(warc.read_records(found)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_gru_lm")
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores, learned from the documents outside fold 1 of 5."""
+    return lm.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
