@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, linededup, lm, minhash, mixing, nearvec, packing, quality, warc
+from quillspark.llm import langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
+from quillspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +184,39 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores, learned from the documents outside fold 1 of 5."""
     return lm.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
+#: The tokenizer versions of the rollup query: white-space words, and runs of letters and digits or single marks.
+TOKENIZERS = {"words-1": mixing.WORD, "marks-1": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
+#: What the revised count of a low-quality text counts: words with a letter or digit.
+REVISED = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
+
+ROLLUP_SQL = rf"""
+WITH l AS (SELECT doc_id, bool_or(toxic = 1) AS toxic, bool_or(quality = 0) AS low FROM labels GROUP BY doc_id),
+d AS (SELECT d.*, coalesce(l.toxic, false) AS toxic, coalesce(l.low, false) AS low FROM documents d LEFT JOIN l USING (doc_id)),
+t AS (SELECT source, lang, 'words-1' AS version, CASE WHEN low THEN len(regexp_extract_all(coalesce(text, ''), '{REVISED}')) ELSE len({WORDS_SQL}) END AS tokens
+      FROM d WHERE NOT toxic
+      UNION ALL SELECT source, lang, 'marks-1', len(regexp_extract_all(coalesce(text, ''), '{TOKENIZERS["marks-1"]}')) FROM d WHERE NOT toxic)
+SELECT source, lang, version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM t GROUP BY ALL
+"""
+
+
+@query("op4_token_rollup", ROLLUP_SQL)
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserts under two tokenizers, deletes of toxic documents, revised counts of poor ones, and a repeated batch."""
+    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", count(REVISED).alias("revised"), *(count(pattern).alias(v) for v, pattern in TOKENIZERS.items())
+    )
+    counted, labels = materialize(counted, "rollup-counted"), table(spark, sf_dir, "labels")
+    book = rollup.Rollup(spark)
+    inserts = {v: rollup.insert_events(counted, F.col(f"`{v}`"), v) for v in TOKENIZERS}
+    for version, events in inserts.items():
+        book.apply(f"insert-{version}", events)
+    gone = counted.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    poor = counted.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    deletes = [rollup.insert_events(gone, F.lit(0), v).withColumn("op", F.lit("delete")) for v in TOKENIZERS]
+    book.apply("revise", rollup.insert_events(poor, F.col("revised"), "words-1").withColumn("op", F.lit("revise")))
+    book.apply("delete", deletes[0].unionByName(deletes[1]))
+    book.apply("insert-words-1", inserts["words-1"])  # sent twice, counted once
+    return book.totals()
