@@ -8,9 +8,12 @@ the first counting point, and two documents agree in a component with probabilit
 weights, the weighted Jaccard similarity.  Points are drawn in order of time and only until all components of a document
 are filled, so the work follows the length of the text plus a constant.
 
-Candidates share a band.  Every bucket first compares its members with one centre.  What is still apart in a bucket
-is then compared with all members of other classes there, so no candidate is lost, while a bucket of copies costs
-one comparison per copy.  Each candidate pair is verified on the texts by its exact multiset overlap.
+Candidates share a band.  Every bucket first compares its members with one centre by the exact multiset overlap of
+the texts.  Members of an overlap of ``NEAR`` or more form a neighbourhood; where it holds more than one class after
+that, all its members are compared, block against block, and a pair of blocks gives one edge per document to
+the smallest one it reaches.  Two members of a bucket outside its centre's neighbourhood are compared pair by pair.
+As 1 - similarity is a metric, a pair of 0.8 in a bucket is either inside one neighbourhood or has both ends
+farther than ``FAR`` from the centre, so no candidate is lost, while a bucket of copies costs one comparison per copy.
 
 Nulls and odd rows: a text of one to four words is one shingle; a null text or one without words has none and
 links with nothing.  Exact copies are joined by a content key before banding.  Rows that share an id are one document,
@@ -30,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.components import connected_components
+from quillspark.llm.components import connected_components, roots
 from quillspark.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
+#: Similarity to a bucket's centre from which a document belongs to its neighbourhood, and below which it counts as far:
+#: of two documents within 0.2 of each other, one outside (above 1 - NEAR) means that both are above 1 - NEAR - 0.2.
+NEAR, FAR = 0.3, 0.5
+#: Documents of one block when a neighbourhood is compared.
+BLOCK = 128
 
 
 def shingle_hashes(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +170,8 @@ def overlap(a: Counter, b: Counter) -> tuple[int, int]:
     return common, a.total() + b.total() - common
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts' multisets overlap enough."""
+def compare(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) with the weighted Jaccard similarity of their texts; the largest where an id has several texts."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     kind = both.schema["a"].dataType.simpleString()
@@ -171,13 +179,69 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag = lru_cache(maxsize=64)(bag_of)  # pairs come with their centre, time and again
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                common, union = overlap(bag_of(x), bag(y))
-                keep.append(union > 0 and common >= similarity * union - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+            found = [overlap(bag_of(x), bag(y)) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
+            found = np.array([common / union if union else 0.0 for common, union in found])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def elements(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bags as sets: (text, element), the n-th occurrence of a shingle being an element of its own."""
+    words, bounds = W.split_words(W.as_strings(texts))
+    codes, dictionary = W.encode(words)
+    hashes, inside = shingle_hashes(W.hash_words(dictionary)[codes], bounds)
+    text, element, weight = bags(hashes, inside)
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return np.repeat(text, weight), W.mix(np.repeat(element, weight) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n_a: int, n_b: int) -> np.ndarray:
+    """Common elements of every text of a and every text of b."""
+    shared = np.intersect1d(a[1], b[1])
+    out, width = np.zeros((n_a, n_b), np.float32), 4096
+    for at in range(0, len(shared), width):
+        part, sides = shared[at : at + width], []
+        for (text, element), n in ((a, n_a), (b, n_b)):
+            place = np.minimum(np.searchsorted(part, element), len(part) - 1)
+            hit = part[place] == element
+            side = np.zeros((n, len(part)), np.float32)
+            side[text[hit], place[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            left, right = batch.column("left")[row].values, batch.column("right")[row].values
+            same = batch.column("same")[row].as_py()
+            a, n_a = elements(left.field("text")), len(left)
+            b, n_b = (a, n_a) if same else (elements(right.field("text")), len(right))
+            common = overlaps(a, b, n_a, n_b)
+            size_a, size_b = np.bincount(a[0], minlength=n_a), np.bincount(b[0], minlength=n_b)
+            i, j = np.nonzero((common > 0) & (common >= similarity * (size_a[:, None] + size_b[None, :] - common) - 1e-4))
+            base = 0 if same else n_a
+            root = roots(base + n_b, i, j + base)
+            hit = pa.array(np.flatnonzero(root != np.arange(len(root))))
+            ids = right.field("doc_id") if same else pa.concat_arrays([left.field("doc_id"), right.field("doc_id")])
+            yield pa.RecordBatch.from_arrays([ids.take(hit), ids.take(pa.array(root).take(hit))], names=["a", "b"])
+
+
+def link_inside(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Edges that join the linked ones among all members (doc_id, cluster) of each cluster."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    rows = members.join(sizes, "cluster").withColumn("nth", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    blocks = rows.groupBy("cluster", "blocks", "nth").agg(F.collect_list(F.struct("doc_id", "text")).alias("items"))
+    blocks = materialize(blocks, "minhash-blocks")
+    left = blocks.select("cluster", F.col("nth").alias("i"), F.explode(F.sequence("nth", F.col("blocks") - 1)).alias("j"), F.col("items").alias("left"))
+    right = blocks.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), "nth")).alias("i"), F.col("nth").alias("j"), F.col("items").alias("right"))
+    kind = members.schema["doc_id"].dataType.simpleString()
+    tiles = left.join(right, ["cluster", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left", "right")
+    return tiles.mapInArrow(lambda batches: _tiles(batches, similarity), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -186,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = signed.groupBy("key1", "key2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     firsts = materialize(firsts.where("n > 1"), "minhash-copies")
     marked = signed.join(firsts, ["key1", "key2"], "left")
-    copies = marked.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = marked.where("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     single = marked.where("first IS NULL OR first = doc_id")
     members = single.select(F.col("doc_id").alias("member"), F.explode(F.array_distinct("bands")).alias("band")).distinct()
     members = materialize(members, "minhash-bands")
@@ -194,23 +258,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members.join(buckets.select("band", "centre"), "band"), "minhash-buckets")
 
     stars = members.where("member <> centre").select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct()
-    links = materialize(verify(materialize(stars, "minhash-pairs"), docs, id_col, text_col, similarity).unionByName(copies.distinct()), "minhash-links")
+    scored = materialize(compare(materialize(stars, "minhash-pairs"), docs, id_col, text_col), "minhash-scored")
+    links = materialize(scored.where(F.col("similarity") >= similarity - 1e-9).select("a", "b").unionByName(copies), "minhash-links")
     found = materialize(connected_components(links, "minhash-components"), "minhash-found")
-
-    # what is still apart: members outside their centre's class, against everyone of another class in the bucket
-    label = lambda rows, key, name: rows.join(found.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(
-        name, F.coalesce(name, key)
-    )
-    placed = materialize(label(label(members, "member", "class"), "centre", "main"), "minhash-placed")
-    apart = placed.where("class <> main").select("band", F.col("member").alias("a"), F.col("class").alias("class_a"))
-    others = placed.select("band", F.col("member").alias("b"), F.col("class").alias("class_b"), F.col("main").alias("main_b"), "centre")
-    # two members that are both apart meet twice: the smaller one leads
-    cross = (F.col("class_a") != F.col("class_b")) & (F.col("b") != F.col("centre")) & ((F.col("class_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
-    rest = materialize(apart.join(others, "band").where(cross).select("a", "b").distinct(), "minhash-rest")
-    if rest.isEmpty():
-        return found
-    more = materialize(verify(rest, docs, id_col, text_col, similarity), "minhash-more")
-    return connected_components(links.unionByName(more), "minhash-components")
+    near = connected_components(scored.where(F.col("similarity") >= NEAR).select("a", "b"), "minhash-components")
+    near = materialize(near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "minhash-near")
+
+    # neighbourhoods that still hold more than one class
+    placed = near.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("class")), "doc_id", "left")
+    split = placed.groupBy("cluster").agg(F.count_distinct(F.coalesce("class", "doc_id")).alias("n")).where("n > 1").select("cluster")
+    inside = link_inside(near.join(split, "cluster"), docs, id_col, text_col, similarity)
+    # members of a bucket far from its centre, and not of one neighbourhood
+    far = members.join(scored.where(F.col("similarity") < FAR).select(F.col("a").alias("member"), F.col("b").alias("centre")), ["member", "centre"])
+    far = materialize(far.join(near.withColumnRenamed("doc_id", "member"), "member", "left").select("band", "member", F.coalesce("cluster", "member").alias("cluster")), "minhash-far")
+    pairs = far.toDF("band", "a", "cluster_a").join(far.toDF("band", "b", "cluster_b"), "band").where("a < b AND cluster_a <> cluster_b")
+    outside = compare(materialize(pairs.select("a", "b").distinct(), "minhash-rest"), docs, id_col, text_col)
+    outside = outside.where(F.col("similarity") >= similarity - 1e-9).select("a", "b")
+    return connected_components(links.unionByName(inside).unionByName(outside), "minhash-components")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

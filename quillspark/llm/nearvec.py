@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.components import connected_components
+from quillspark.llm.components import connected_components, roots
 from quillspark.session import materialize
 
 COSINE = 0.93
@@ -81,19 +81,6 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, cosine: float = COSINE) ->
     return i[keep], j[keep]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest place that each place reaches over the links."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _block(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     items = column[row].values
     count, vectors = items.field("n").to_numpy(), items.field("vector")
