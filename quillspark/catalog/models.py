@@ -111,8 +111,10 @@ def attach_labels(spark, sf):
 # -------------------------------------------------------------------------- training
 
 CHAR_NAMES = features.feature_names(levels=("character_level",))
-#: Vocabulary limit and iteration limit of the registered training runs.
-VOCAB, ITERATIONS = 2000, 20
+
+
+#: Solver steps of the registered training runs; the vocabulary is never cut.
+ITERATIONS = 100
 
 
 def training(spark, sf):
@@ -134,7 +136,7 @@ def shown(df, *more):
 @query("train_naive_bayes")
 def train_naive_bayes(spark, sf):
     train, test = parts(training(spark, sf))
-    return shown(classify.train_naive_bayes(train, max_vocab=VOCAB).transform(test))
+    return shown(classify.train_naive_bayes(train).transform(test))
 
 
 @query(
@@ -154,26 +156,26 @@ def naive_bayes_log_probabilities(spark, sf):
 @query("train_linear_svm")
 def train_linear_svm(spark, sf):
     train, test = parts(training(spark, sf))
-    model = classify.train_linear_svm(train, "char_ngrams", VOCAB, max_iter=ITERATIONS)
+    model = classify.train_linear_svm(train, "char_ngrams", max_iter=ITERATIONS)
     return shown(model.transform(test))
 
 
 @query("train_random_forest")
 def train_random_forest(spark, sf):
     train, test = parts(training(spark, sf))
-    return shown(classify.train_random_forest(train, "char_ngrams", VOCAB, n_trees=C.FOREST_TREES, max_depth=10).transform(test))
+    return shown(classify.train_random_forest(train, "char_ngrams", n_trees=C.FOREST_TREES).transform(test))
 
 
 @query("grid_search")
 def grid_search(spark, sf):
     train, _ = parts(training(spark, sf))
-    model = classify.grid_search(train, CHAR_NAMES, c_values=(0.1, 1.0), max_iters=(10,), folds=3)
+    model = classify.grid_search(train, CHAR_NAMES, c_values=(0.1, 1.0), max_iters=(20, 100), folds=3)
     return classify.grid_scores(model, spark)
 
 
 @query("train_style_svm")
 def train_style_svm(spark, sf):
-    _, scored = style_plan.train_and_score(training(spark, sf), CHAR_NAMES, ["char_ngrams"], max_vocab=VOCAB, max_iter=ITERATIONS)
+    _, scored = style_plan.train_and_score(training(spark, sf), CHAR_NAMES, ["char_ngrams"], max_iter=ITERATIONS)
     return shown(scored, "score", "probability", "confidence")
 
 
@@ -224,7 +226,7 @@ def calibrate(spark, sf):
 @query("score_unrelated")
 def score_unrelated(spark, sf):
     train, _ = parts(training(spark, sf))
-    model = classify.train_naive_bayes(train, max_vocab=VOCAB)
+    model = classify.train_naive_bayes(train)
     other = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("background").alias("label"))
     scored = classify.score_unrelated(model, ngrams.with_word_ngrams(other, 1))
     return shown(scored)
@@ -237,7 +239,7 @@ def feature_ablation(spark, sf):
         "all": CHAR_NAMES, "flags": [n for n in CHAR_NAMES if not n.endswith("_freq")],
         "ratios": [n for n in CHAR_NAMES if n.endswith("_freq")],
     }
-    return classify.feature_ablation(train, test, sets, max_iter=10)
+    return classify.feature_ablation(train, test, sets, max_iter=ITERATIONS)
 
 
 @query("feature_selection")
@@ -258,7 +260,7 @@ def feature_importance(spark, sf):
 @query("top_predictive")
 def top_predictive(spark, sf):
     train, _ = parts(training(spark, sf))
-    model = classify.train_linear_svm(train, "char_ngrams", VOCAB, max_iter=ITERATIONS)
+    model = classify.train_linear_svm(train, "char_ngrams", max_iter=ITERATIONS)
     vocabulary = model.stages[0].vocabulary
     return explain.top_predictive(explain.feature_importance(spark, explain.last_stage(model), vocabulary))
 
@@ -303,5 +305,5 @@ def save_load_model(spark, sf):
 
     train, test = parts(training(spark, sf))
     path = new_path(spark, "model")
-    writers.save_model(classify.train_naive_bayes(train, max_vocab=VOCAB), path)
+    writers.save_model(classify.train_naive_bayes(train), path)
     return shown(readers.load_model(path).transform(test))

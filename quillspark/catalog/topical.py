@@ -150,11 +150,26 @@ def top_topics(spark, sf):
     return out.select("topic", "rank", "term", r9("weight").alias("weight"), F.round("coherence", 6).alias("coherence"))
 
 
-@query("topic_coherence_cv")
+_CV_CTE = (
+    f"{_LANG_CTE}, tok AS (SELECT id, len(tokens) AS size, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM topic_posts), "
+    "win AS (SELECT DISTINCT id, topic, rank, unnest(range(greatest(pos - 109, 0), least(pos, greatest(size - 110, 0)) + 1)) AS w FROM tok JOIN tops USING (term)), "
+    "sets AS (SELECT id, w, topic, list_sort(list(rank)) AS ranks FROM win GROUP BY ALL), folded AS (SELECT topic, ranks, count(*) AS n FROM sets GROUP BY ALL), "
+    "first AS (SELECT topic, n, ranks, unnest(ranks) AS m FROM folded), joint AS (SELECT topic, m, l, sum(n) AS n FROM (SELECT topic, n, m, unnest(ranks) AS l FROM first) GROUP BY ALL), "
+    "total AS (SELECT sum(greatest(len(tokens) - 109, 1))::DOUBLE AS t FROM topic_posts), pr AS (SELECT topic, m, l, n / t AS p FROM joint, total), "
+    "grid AS (SELECT a.topic, a.rank AS m, b.rank AS l FROM tops a JOIN tops b USING (topic)), "
+    "cell AS (SELECT g.topic, g.m, g.l, coalesce(ln((coalesce(j.p, 0) + 1e-12::DOUBLE) / (x.p * y.p)) / -ln(coalesce(j.p, 0) + 1e-12::DOUBLE), 0) AS v FROM grid g "
+    "LEFT JOIN pr j ON j.topic = g.topic AND j.m = g.m AND j.l = g.l LEFT JOIN pr x ON x.topic = g.topic AND x.m = g.m AND x.l = g.m "
+    "LEFT JOIN pr y ON y.topic = g.topic AND y.m = g.l AND y.l = g.l), "
+    "whole AS (SELECT topic, l, sum(v) AS s FROM cell GROUP BY ALL), "
+    "cos AS (SELECT topic, m, coalesce(sum(v * s) / nullif(sqrt(sum(v * v)) * sqrt(sum(s * s)), 0), 0) AS c FROM cell JOIN whole USING (topic, l) GROUP BY ALL)"
+)
+
+
+@query("topic_coherence_cv", f"WITH {_CV_CTE} SELECT topic, round(avg(c), 6) AS coherence FROM cos GROUP BY topic")
 def topic_coherence_cv(spark, sf):
     corpus = tokens(spark, sf)
-    tops = materialize(ranked_topics(language_topics(corpus), 5), "topics")
-    return topics.npmi_coherence(corpus, tops, "tokens", window=10)
+    tops = materialize(ranked_topics(language_topics(corpus)), "topics")
+    return topics.npmi_coherence(corpus, tops, "tokens").withColumn("coherence", F.round("coherence", 6))
 
 
 _DIFF_CTE = (
@@ -163,18 +178,28 @@ _DIFF_CTE = (
 )
 
 
+#: Weights of both sides for every pair of topics and every term of either table.
+_UNION_CTE = (
+    "every AS (SELECT term FROM mat UNION SELECT term FROM rmat), sides AS (SELECT l.topic AS topic_left, r.topic AS topic_right FROM "
+    "(SELECT DISTINCT topic FROM rmat) l CROSS JOIN (SELECT DISTINCT topic FROM mat) r), "
+    "cells AS (SELECT topic_left, topic_right, coalesce(a.weight, 0) AS p, coalesce(b.weight, 0) AS q FROM sides CROSS JOIN every "
+    "LEFT JOIN rmat a ON a.topic = topic_left AND a.term = every.term LEFT JOIN mat b ON b.topic = topic_right AND b.term = every.term)"
+)
+
+
 def _topic_diff(spark, sf, distance):
+    """The labelled posts' topics against those of all posts, which hold every term of them."""
     corpus = tokens(spark, sf)
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    right = language_topics(corpus.join(labels, "id", "left_semi"))
-    out = topics.topic_diff(language_topics(corpus), right, distance)
+    part = language_topics(corpus.join(labels, "id", "left_semi"))
+    out = topics.topic_diff(part, language_topics(corpus), distance)
     return out.withColumn("distance", F.round("distance", 6))
 
 
 @query(
     "topic_diff",
-    f"WITH {_DIFF_CTE} SELECT a.topic AS topic_left, b.topic AS topic_right, round(sum(a.weight * ln(a.weight / b.weight)), 6) AS distance "
-    "FROM mat a JOIN rmat b USING (term) GROUP BY ALL",
+    f"WITH {_DIFF_CTE}, {_UNION_CTE} SELECT topic_left, topic_right, round(sum(CASE WHEN p = 0 THEN 0 WHEN q = 0 THEN 'inf'::DOUBLE ELSE p * ln(p / q) END), 6) AS distance "
+    "FROM cells GROUP BY ALL",
 )
 def topic_diff(spark, sf):
     return _topic_diff(spark, sf, "kullback_leibler")
@@ -182,13 +207,21 @@ def topic_diff(spark, sf):
 
 @query(
     "topic_diff_hellinger",
-    f"WITH {_DIFF_CTE} SELECT a.topic AS topic_left, b.topic AS topic_right, round(sqrt(0.5::DOUBLE * sum((sqrt(a.weight) - sqrt(b.weight)) ** 2)), 6) AS distance "
-    "FROM mat a JOIN rmat b USING (term) GROUP BY ALL",
+    f"WITH {_DIFF_CTE}, {_UNION_CTE} SELECT topic_left, topic_right, round(sqrt(sum((sqrt(p) - sqrt(q)) ** 2) / 2), 6) AS distance FROM cells GROUP BY ALL",
 )
 def topic_diff_hellinger(spark, sf):
     return _topic_diff(spark, sf, "hellinger")
 
 
+@query(
+    "topic_diff_jaccard",
+    f"WITH {_DIFF_CTE}, {_UNION_CTE} SELECT topic_left, topic_right, round(1 - count(*) FILTER (p > 0 AND q > 0) / count(*) FILTER (p > 0 OR q > 0)::DOUBLE, 6) AS distance "
+    "FROM cells GROUP BY ALL",
+)
+def topic_diff_jaccard(spark, sf):
+    return _topic_diff(spark, sf, "jaccard")
+
+
 @query(
     "topic_relevance",
     f"WITH {_LANG_CTE}, tf AS (SELECT term, sum(n)::BIGINT AS n FROM tc GROUP BY 1), "

@@ -7,11 +7,12 @@ the lists are defaults; the operators that use one take it as an argument.
 # ---------------------------------------------------------------- fixed values
 
 #: Western emoticons, counted and stripped as literals.
+#: Emoticons, built by rule: eyes, nose and mouth; mouth, nose and eyes; glasses; crossed eyes; hearts.
 EMOTICONS = (
-    ":3", ":)", "<3", ";)", ";D", ":(", "XD", ":/", ":-)", "):", "(=", "8)", "(:",
-    ":D", "xD", ";-)", "=/", "XP", ")-:", "=D", ":O", ":\\", "=\\", "=]", ":^)",
-    "]:", "{:", ":P", ":-D", ":'-(", "*)", ":'(", ":-(", ":-/", ":|", ":o", ":p",
-    ":-P", "=)", "=(", ":]", ":[", "</3",
+    *(eyes + nose + mouth for eyes in ":;=" for nose in ("", "-") for mouth in ")(][DPpOo/\\|"),
+    *(mouth + nose + eyes for mouth in ")(][" for nose in ("", "-") for eyes in ":;="),
+    *("8" + nose + mouth for nose in ("", "-") for mouth in ")("), *(eyes + mouth for eyes in "Xx" for mouth in "DP"),
+    ":3", ":*", ":-*", ":^)", ":'(", ":'-(", "<3", "</3",
 )
 
 #: English function words (the default stop list, together with RETWEET_WORDS).

@@ -51,9 +51,11 @@ def apply_vocabulary(
 
 
 def fit_count_vectorizer(
-    train: DataFrame, ngrams_col: str = "ngrams", out: str = "ngram_vector", max_vocab: int = 1 << 18
+    train: DataFrame, ngrams_col: str = "ngrams", out: str = "ngram_vector", max_vocab: int | None = None
 ) -> CountVectorizerModel:
-    """Sparse count vectors; the vocabulary is bounded by ``max_vocab``."""
+    """Sparse count vectors of all n-grams of the training rows, or of the ``max_vocab`` most frequent."""
+    if max_vocab is None:
+        max_vocab = max(1, fit_vocabulary(train, ngrams_col).count())
     return CountVectorizer(inputCol=ngrams_col, outputCol=out, vocabSize=max_vocab, minDF=1.0).fit(train)
 
 

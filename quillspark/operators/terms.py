@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
@@ -44,6 +45,5 @@ def emote_share(counts: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 def wordcloud_weights(df: DataFrame, tokens: Column | str, k: int = C.WORDCLOUD_TERMS) -> DataFrame:
     """The top ``k`` terms with their frequency relative to the most frequent one."""
-    top = top_terms(df, tokens, k)
-    most = term_counts(df, tokens).agg(F.max("n")).scalar()
-    return top.withColumn("weight", F.round(F.col("n") / most, 6))
+    most = F.max("n").over(Window.partitionBy())  # over the k rows of the top
+    return top_terms(df, tokens, k).withColumn("weight", F.round(F.col("n") / most, 6))

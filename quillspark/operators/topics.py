@@ -14,6 +14,10 @@ from quillspark.functions import constants as C
 from quillspark.operators.joins import term_join
 
 
+#: Share of the corpus that one update of the topic model reads.
+LDA_SHARE = 0.05
+
+
 def build_dictionary(
     df: DataFrame,
     tokens_col: str = "tokens",
@@ -72,14 +76,16 @@ def train_lda(
     k: int = C.LDA_TOPICS,
     *,
     passes: int = 1,
-    batch: int = C.LDA_BATCH,
-    n_docs: int | None = None,
+    share: float = LDA_SHARE,
     seed: int = C.SPLIT_SEED,
     bag_col: str = "bow",
 ) -> LDAModel:
-    """Online variational LDA.  ``batch`` posts per update, ``passes`` over the corpus."""
-    n_docs = n_docs or bags.count()
-    share = min(1.0, batch / max(n_docs, 1))
+    """Online variational LDA: every update reads a ``share`` of the corpus, ``passes`` over it in all.
+
+    An update samples by a scan, so the number of scans is passes / share
+    whatever the size of the corpus (updates from a fixed number of posts
+    would make it grow with the square).
+    """
     return LDA(
         k=k, optimizer="online", featuresCol=bag_col, seed=seed, subsamplingRate=share,
         maxIter=max(1, math.ceil(passes / share)),
@@ -102,19 +108,16 @@ def umass_coherence(
 ) -> DataFrame:
     """(topic, coherence): mean over ordered term pairs of log((D(m, l) + eps) / D(l)), rank of l before m.
 
-    For each post and topic the ranks present are folded into one bit set;
-    posts with the same set are counted together before a set is opened into
-    its pairs, so the pairs of a post are never written out.
+    For each post and topic the ranks present are folded into one sorted list,
+    of at most one entry per listed term; posts with the same list are counted
+    together before it is opened into its pairs, so the pairs of a post are
+    never written out.
     """
     words = explode_rows(df, [id_col], F.array_distinct(tokens_col), "term")
     listed = topics.groupBy("term").agg(F.collect_set(F.struct("topic", "rank")).alias("uses"))
     hits = term_join(words, listed, "term", salt_by=id_col).select(id_col, F.explode("uses").alias("u"))
-    sets = hits.groupBy(id_col, F.col("u.topic").alias("topic")).agg(
-        F.bit_or(F.expr("shiftleft(1L, u.rank)")).alias("bits")
-    )
-    folded = sets.groupBy("topic", "bits").agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.filter(F.sequence(F.lit(1), F.lit(62)), lambda r: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), r)) != 0)
-    opened = folded.select("topic", "n", ranks.alias("ranks"))
+    sets = hits.groupBy(id_col, F.col("u.topic").alias("topic")).agg(F.sort_array(F.collect_set("u.rank")).alias("ranks"))
+    opened = sets.groupBy("topic", "ranks").agg(F.count(F.lit(1)).alias("n"))
     pairs = F.flatten(
         F.transform("ranks", lambda m: F.transform(F.filter("ranks", lambda x: x <= m), lambda x: F.struct(m.alias("m"), x.alias("l"))))
     )
@@ -138,24 +141,34 @@ def npmi_coherence(
 ) -> DataFrame:
     """(topic, coherence): c_v measure over sliding windows of ``window`` tokens.
 
-    Windows are cut inside each post, reduced to one bit set per topic and
-    counted by set; vectors of normalised pointwise mutual information are then
+    Windows are cut inside each post.  The set of topic terms in the window
+    changes only where a hit comes in or drops out, so a post gives at most two
+    sets per hit, each with the number of windows that hold it.  Sets are
+    counted; vectors of normalised pointwise mutual information are then
     compared with the vector of the whole topic by cosine.
     """
     words = df.select(id_col, F.size(tokens_col).alias("size"), F.posexplode(tokens_col).alias("pos", "term"))
     n_windows = df.agg(F.sum(F.greatest(F.size(tokens_col) - (window - 1), F.lit(1)))).scalar()
     listed = topics.groupBy("term").agg(F.collect_set(F.struct("topic", "rank")).alias("uses"))
     hits = term_join(words, listed, "term", salt_by=id_col)
-    last = F.greatest(F.col("size") - window, F.lit(0))
     # the windows that hold a position: from pos - window + 1 to pos, inside the post
-    spans = F.sequence(F.greatest(F.col("pos") - (window - 1), F.lit(0)), F.least(F.col("pos"), last))
-    per_window = hits.select(id_col, "uses", F.explode(spans).alias("w")).select(id_col, "w", F.explode("uses").alias("u"))
-    sets = per_window.groupBy(id_col, "w", F.col("u.topic").alias("topic")).agg(
-        F.bit_or(F.expr("shiftleft(1L, u.rank)")).alias("bits")
+    since = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    until = F.least(F.col("pos"), F.greatest(F.col("size") - window, F.lit(0))) + 1
+    held = hits.select(id_col, since.alias("since"), until.alias("until"), F.explode("uses").alias("u"))
+    post = held.groupBy(id_col, F.col("u.topic").alias("topic")).agg(F.collect_list(F.struct("since", "until", "u.rank")).alias("hits"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("hits", lambda h: h["since"]), F.transform("hits", lambda h: h["until"]))))
+    post = post.withColumn("edges", edges)
+    spans = F.transform(
+        F.slice("edges", F.lit(1), F.size("edges") - 1),
+        lambda start, i: F.struct(
+            F.sort_array(F.array_distinct(F.transform(
+                F.filter("hits", lambda h: (h["since"] <= start) & (h["until"] > start)), lambda h: h["rank"]
+            ))).alias("ranks"),
+            (F.element_at("edges", i + 2) - start).alias("n"),
+        ),
     )
-    folded = sets.groupBy("topic", "bits").agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.filter(F.sequence(F.lit(1), F.lit(62)), lambda r: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), r)) != 0)
-    opened = folded.select("topic", "n", ranks.alias("ranks"))
+    sets = post.select("topic", F.explode(spans).alias("s")).where(F.size("s.ranks") > 0)
+    opened = sets.groupBy("topic", F.col("s.ranks").alias("ranks")).agg(F.sum("s.n").alias("n"))
     pairs = F.flatten(F.transform("ranks", lambda m: F.transform("ranks", lambda x: F.struct(m.alias("m"), x.alias("l")))))
     joint = opened.select("topic", "n", F.explode(pairs).alias("p")).groupBy("topic", "p.m", "p.l").agg(F.sum("n").alias("n"))
     ranked = topics.groupBy("topic").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
@@ -201,25 +214,36 @@ def topic_word_matrix(spark: SparkSession, model: LDAModel, vocabulary: list[str
 
 
 def topic_diff(left: DataFrame, right: DataFrame, distance: str = "kullback_leibler") -> DataFrame:
-    """(topic_left, topic_right, distance) of two topic-term tables over the same vocabulary.
+    """(topic_left, topic_right, distance) for every pair of topics of two topic-term tables.
 
-    Joined on the term: K x K rows per term, folded before the shuffle.  K is
-    the number of topics.
+    A term without a row in a topic has weight 0 there.  What only one side
+    holds follows from sums per topic, so the tables are joined on common
+    terms only: K x K rows per term, folded before the shuffle.  The
+    divergence is infinite where the right topic lacks a term of the left one.
     """
-    a = left.select(F.col("topic").alias("topic_left"), "term", F.col("weight").alias("p"))
-    b = right.select(F.col("topic").alias("topic_right"), "term", F.col("weight").alias("q"))
-    pairs = a.join(b, "term").groupBy("topic_left", "topic_right")
+    def sums(table: DataFrame, side: str) -> DataFrame:
+        return table.where("weight > 0").groupBy(F.col("topic").alias(f"topic_{side}")).agg(
+            F.sum("weight").alias(f"mass_{side}"), F.count_distinct("term").alias(f"n_{side}")
+        )
+
+    a = left.where("weight > 0").select(F.col("topic").alias("topic_left"), "term", F.col("weight").alias("p"))
+    b = right.where("weight > 0").select(F.col("topic").alias("topic_right"), "term", F.col("weight").alias("q"))
+    common = a.join(b, "term").groupBy("topic_left", "topic_right").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.sqrt(F.col("p") * F.col("q"))).alias("product"),
+        F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("divergence"),
+    )
+    # the result has one row per pair of topics, whether they share a term or not
+    pairs = sums(left, "left").crossJoin(F.broadcast(sums(right, "right"))).join(common, ["topic_left", "topic_right"], "left")
+    n, product = F.coalesce("n", F.lit(0)), F.coalesce("product", F.lit(0.0))
     if distance == "kullback_leibler":
-        part = F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("p") * F.log(F.col("p") / F.col("q"))).otherwise(F.lit(0.0))
-        return pairs.agg(F.sum(part).alias("distance"))
-    if distance == "hellinger":
-        gap = F.sqrt("p") - F.sqrt("q")
-        return pairs.agg(F.sqrt(F.lit(0.5) * F.sum(gap * gap)).alias("distance"))
-    if distance == "jaccard":
-        common = F.count_if((F.col("p") > 0) & (F.col("q") > 0))
-        either = F.count_if((F.col("p") > 0) | (F.col("q") > 0))
-        return pairs.agg((F.lit(1.0) - F.try_divide(common, either)).alias("distance"))
-    raise ValueError(f"unknown distance {distance!r}")
+        value = F.when(n < F.col("n_left"), F.lit(float("inf"))).otherwise(F.col("divergence"))
+    elif distance == "hellinger":
+        value = F.sqrt(F.greatest(F.lit(0.5) * (F.col("mass_left") + F.col("mass_right")) - product, F.lit(0.0)))
+    elif distance == "jaccard":
+        value = F.lit(1.0) - n / (F.col("n_left") + F.col("n_right") - n)
+    else:
+        raise ValueError(f"unknown distance {distance!r}")
+    return pairs.select("topic_left", "topic_right", value.alias("distance"))
 
 
 def topic_relevance(

@@ -86,10 +86,16 @@ def read_lexicon(spark: SparkSession, path: str, header: list[str | None] | None
 
 
 def parse_vectors(lines: DataFrame) -> DataFrame:
-    """Lines ``word v1 v2 ...`` to (word, vector); a leading ``count size`` line is dropped."""
+    """Lines ``word v1 v2 ...`` to (word, vector).
+
+    A ``count size`` line, two whole numbers of which the second is the number
+    of values of the longest line (above 1), is the header and is dropped.
+    """
     parts = F.split(F.regexp_replace("value", f"{P.SPACE}+$", ""), " ")
     numbers = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    rows = lines.where(F.size(parts) > 2)
+    widest = lines.agg(F.max(F.size(parts) - 1)).scalar()
+    header = (F.size(parts) == 2) & parts[0].rlike("^[0-9]+$") & (widest > 1) & (parts[1] == widest.cast("string"))
+    rows = lines.where((F.size(parts) > 1) & ~header)
     return rows.select(parts[0].alias("word"), F.transform(numbers, lambda v: v.cast("float")).alias("vector"))
 
 
