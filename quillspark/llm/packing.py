@@ -13,7 +13,10 @@ encoded whole.  Repeated rows are packed each on its own.  An empty table gives
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,44 +32,94 @@ END_ID = 0
 #: Hash buckets per length that ranks are counted in.
 BUCKETS = 256
 #: Entries that an encoder remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary spells each byte: printing Latin-1 itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary's splitter never joins characters across a single space between two words, so a text is encoded
-    space by space and each distinct part once.  A text with other white space beside a space goes to the tokenizer whole.
+    The vocabulary's splitter never joins characters across a single white-space character between two words, and of a
+    run of white space it keeps all but the last character together.  So a text is cut there and each distinct part
+    is encoded once.  A part that begins with ``VERBATIM`` is encoded as it is, any other with a space before it.
     """
 
+    VERBATIM = "\1"
+    MARKS = ".,;:!?|#%&$*"
+    RUN = re.compile(r"(\s\s+)")
+    #: Characters that the cuts do not cover: texts with one are encoded whole.
+    ODD = re.compile("[\0\1\x1c-\x1f]")
+
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in one.ids]) for one in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            parts.append([first and "\0" + first, *rest])  # the first part has no space before it
-        new = set().union(*parts) - self.known.keys()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 10_000):
+            for one in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False):
+                yield array("I", one.ids).tobytes()
+
+    def parts(self, text: str) -> list[str]:
+        verbatim = self.VERBATIM
+        out, lead, pieces = [], verbatim, self.RUN.split(text)
+        for number, piece in enumerate(pieces):
+            if not number % 2:
+                for line in piece.split("\n") if piece else ():
+                    if lead is None:
+                        out.append(verbatim + "\n")
+                    first, *rest = line.split(" ")
+                    out.append(first if lead == "" else verbatim + first)
+                    out += rest
+                    lead = None
+            elif number == len(pieces) - 2 and not pieces[-1]:
+                out.append(verbatim + piece)
+            else:
+                out.append(verbatim + piece[:-1])
+                lead = "" if piece[-1] == " " else verbatim
+                if lead:
+                    out.append(verbatim + piece[-1])
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode new parts; marks after a letter are always tokens of their own, so they are split off first."""
+        ends: dict[str, tuple[str, str]] = {}
+        for part in new:
+            core = part.rstrip(self.MARKS)
+            if core != part and core[-1:].isalpha():
+                ends[part] = core, self.VERBATIM + part[len(core) :]
+        todo = (new - ends.keys()).union(*ends.values()) - self.known.keys()
+        # letters, with or without a space before them, are one token of the splitter and go straight to the model
+        words = [p for p in todo if p.isalpha() or p[:1] == self.VERBATIM and p[1:].isalpha()]
+        for word in words:
+            spelt = (word[1:] if word[0] == self.VERBATIM else f" {word}").encode().decode("latin-1").translate(self.letters)
+            self.known[word] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        todo, verbatim = list(todo.difference(words)), self.VERBATIM
+        self.known.update(zip(todo, self._ids([p[1:] if p[:1] == verbatim else " " + p for p in todo]), strict=True))
+        for part, (core, end) in ends.items():
+            self.known[part] = self.known[core] + self.known[end]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [None if self.ODD.search(text) else self.parts(text) for text in texts]
+        new = set().union(*filter(None, cut)) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*parts)
-        plain = [p for p in new if p and not p[-1].isspace() and not p.removeprefix("\0")[:1].isspace() and "\0" not in p[1:]]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._ids([p[1:] if p[0] == "\0" else " " + p for p in plain]), strict=True))
-        known, out = self.known, []
-        for text, part in zip(texts, parts, strict=True):
-            ids = [known[p] for p in part]
-            out.append(b"".join(ids) if None not in ids else self._ids([text])[0])
-        return out
+            new = set().union(*filter(None, cut))
+        self._learn(new)
+        known = self.known.__getitem__
+        for text, parts in zip(texts, cut, strict=True):
+            yield next(self._ids([text])) if parts is None else b"".join(map(known, parts))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -78,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", 2 << 20):
             encoder = encoder or Encoder(tokenizer_path)
             row, starts, lengths, sums, totals, kept = [], [], [], [], [], []
             for number, ids in enumerate(encoder.encode(W.as_strings(batch.column("text")).to_pylist())):
