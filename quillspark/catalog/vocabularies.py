@@ -200,7 +200,7 @@ def lexicon_equi_join(spark, sf):
     words = explode_rows(masked(spark, sf), ["id"], T.plain_words(F.lower("text")), "word")
     counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     terms = lexicon_df(spark).where("NOT is_prefix").select(F.col("term").alias("word")).distinct()
-    return term_join(counted, terms, "word", "left_semi", salt_by="id")
+    return term_join(counted, terms, "word", "left_semi")
 
 
 @query(
@@ -213,7 +213,7 @@ def stopword_anti_join(spark, sf):
 
     words = explode_rows(masked(spark, sf), ["id"], T.plain_words(F.lower("text")), "word")
     stop = spark.createDataFrame([(w,) for w in C.STOP_WORDS], "word string")
-    return term_join(words, stop, "word", "left_anti", salt_by="id").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return term_join(words, stop, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("lexicon_totals", f"WITH {MATCH_CTE} SELECT category, sum(hits)::BIGINT AS total FROM m GROUP BY 1")

@@ -56,7 +56,7 @@ def retag(df: DataFrame, tag_lexicon: DataFrame, id_col: str = "id", tokens_col:
     """
     exploded = df.select(id_col, F.posexplode(tokens_col).alias("i", "tok")).withColumn("word", F.lower("tok.text"))
     lex = tag_lexicon.select("word", F.struct("pos", "tense", "degree").alias("tag"))
-    tagged = term_join(exploded, lex, "word", "left", salt_by=id_col)
+    tagged = term_join(exploded, lex, "word", "left")
     new = F.col("tok")
     for field in ("pos", "tense", "degree"):
         new = new.withField(
@@ -87,7 +87,7 @@ def nonstandard_counts(
         alpha = F.transform(F.filter(F.col(tokens_col), lambda t: t["is_alpha"]), lambda t: t["text"])
     words = F.array_distinct(F.transform(alpha, F.lower))
     exploded = explode_rows(df, [id_col], words, word_col)
-    unknown = term_join(exploded, vocabulary.select(word_col), word_col, "left_anti", salt_by=id_col)
+    unknown = term_join(exploded, vocabulary.select(word_col), word_col, "left_anti")
     return unknown.groupBy(id_col).agg(F.count(F.lit(1)).alias("nonstandard"))
 
 
@@ -112,7 +112,9 @@ def extract_features(
     The steps are separate projections: mentions to lower case, annotation,
     token sets, features.  No level is computed apart and joined back.  Without
     a ``vocabulary`` there is no ``nonstandard_spelling``; with one, its counts
-    are joined on the id.  ``keep`` names columns to carry along.
+    are joined on the id, which must be unique then, after the features: the
+    join moves numbers and the kept columns, not texts.  ``keep`` names columns
+    to carry along.
     """
     from quillspark.functions.text import lowercase_mentions
 
@@ -122,22 +124,25 @@ def extract_features(
     extra = [c for c in (tokens_col, emotes_col) if c]
     stage = df.select(id_col, *keep, *extra, lowercase_mentions(text_col).alias("_text"))
     features = style.character_features("_text", names=wanted)
+    counts = None
     if len(features) < len(wanted):
-        nonstandard = None
         if vocabulary is not None and "nonstandard_spelling" in wanted:
             counts = nonstandard_counts(stage, vocabulary, id_col, tokens_col, "_text")
-            stage = stage.join(counts, id_col, "left").withColumn("nonstandard", F.coalesce("nonstandard", F.lit(0)))
-            nonstandard = "nonstandard"
         if tokens_col is None:
             tokens_col = "_tokens"
             stage = stage.withColumn(tokens_col, T.annotate("_text"))
         stage = stage.withColumns(style.token_sets("_text", tokens_col)).withColumns(style.token_counts())
-        features.update(style.word_features(tokens_col, emotes_col, nonstandard, names=wanted))
+        features.update(style.word_features(tokens_col, emotes_col, F.lit(1) if counts is not None else None, names=wanted))
         features.update(style.sentence_features(tokens_col, names=wanted))
         features.update(style.document_features("_text", names=wanted))
         if readability:
             features.update(style.readability_extra())
-    return stage.select(id_col, *keep, *[features[n].alias(n) for n in wanted])
+    table = stage.select(id_col, *keep, *[features[n].alias(n) for n in wanted])
+    if counts is None:
+        return table
+    # so far the share that one unknown word makes
+    share = F.coalesce("nonstandard", F.lit(0)) * F.col("nonstandard_spelling")
+    return table.join(counts, id_col, "left").withColumn("nonstandard_spelling", share).select(table.columns)
 
 
 def feature_names(with_vocabulary: bool = False, levels=LEVELS) -> list[str]:

@@ -8,50 +8,38 @@ from pyspark.sql import functions as F
 #: A term table is broadcast only up to this many rows and key characters.
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 16_000_000
-SALTS = 64
 
 
-def is_small(df: DataFrame, key: list[str], max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows with at most ``max_chars`` key characters.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows with at most ``max_chars`` characters in all columns together.
 
-    Reads no more than ``max_rows`` + 1 rows and brings two numbers to the driver.
+    Starts a job that reads no more than ``max_rows`` + 1 rows and brings two
+    numbers to the driver, so give a written table or a cheap plan.
     """
-    width = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in key), F.lit(0))
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
     found = (
-        df.select(*key).limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("chars"))
+        df.limit(max_rows + 1).select(width.alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("chars"))
         .first()
     )
     return found["n"] <= max_rows and found["chars"] <= max_chars
 
 
 def term_join(
-    big: DataFrame,
-    terms: DataFrame,
-    on: str | list[str],
-    how: str = "inner",
-    *,
-    salt_by: str,
-    salts: int = SALTS,
-    small: bool | None = None,
+    big: DataFrame, terms: DataFrame, on: str | list[str], how: str = "inner", *, small: bool | None = None
 ) -> DataFrame:
     """Equi-join of a large ``big`` with ``terms`` (one row per key at most).
 
-    Up to the checked size ``terms`` is broadcast, which leaves ``big`` in
-    place.  Beyond it both sides are shuffled, and a hot key of ``big`` is
-    spread over ``salts`` tasks: its rows get a salt from the hash of
-    ``salt_by``, and each row of ``terms`` is repeated once per salt.  ``how``
-    is ``inner``, ``left``, ``left_semi`` or ``left_anti``; results are whole
-    in both forms.
+    Up to the checked size of the whole rows ``terms`` is broadcast, which
+    leaves ``big`` in place.  Beyond it both sides are shuffled; a hot key of
+    ``big`` is then split over tasks by adaptive execution, which may cut the
+    left side of all four kinds of join.  ``how`` is ``inner``, ``left``,
+    ``left_semi`` or ``left_anti``; results are whole in both forms.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if small is None:
-        small = is_small(terms, keys)
-    if small:
-        return big.join(F.broadcast(terms), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
-    repeated = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, keys + ["_salt"], how).drop("_salt")
+        small = is_small(terms)
+    return big.join(F.broadcast(terms) if small else terms, keys, how)
 
 
 def compare_side_by_side(

@@ -56,12 +56,12 @@ def lexicon_match_patterns(
 def lexicon_match(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
     """(id, category, hits) for lexicons of any size, single-word terms.
 
-    Words are counted per post first.  Exact terms join on the word, prefix
-    terms on the beginnings of the word that are as long as some prefix term.
+    Exact terms join on the word, prefix terms on the beginnings of the word
+    that are as long as some prefix term.  The words meet the terms first, in
+    place where the terms are few, and only hits are counted and moved.
     """
     lexicon = lexicon.select("category", F.lower("term").alias("term"), "is_prefix").distinct()
     words = explode_rows(df, [id_col], T.plain_words(F.lower(F.col(text_col))), "word")
-    words = words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
     # one row per (term, kind) with all its categories: the join then never multiplies rows of one key
     terms = lexicon.groupBy("term", "is_prefix").agg(F.sort_array(F.collect_set("category")).alias("categories"))
     lengths = terms.where("is_prefix").agg(F.collect_set(F.length("term"))).scalar()
@@ -71,11 +71,12 @@ def lexicon_match(df: DataFrame, lexicon: DataFrame, text_col: str = "text", id_
         lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("term"), F.lit(True).alias("is_prefix")),
     )
     forms = F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("is_prefix"))), beginnings)
-    probes = explode_rows(words, [id_col, "word", "n"], forms, "f").select(
-        id_col, "word", "n", "f.term", "f.is_prefix"
-    )
-    hits = term_join(probes, terms, ["term", "is_prefix"], salt_by=id_col)
-    per_word = hits.select(id_col, "word", "n", F.explode("categories").alias("category")).distinct()
+    probes = explode_rows(words, [id_col, "word"], forms, "f").select(id_col, "word", "f.term", "f.is_prefix")
+    hits = term_join(probes, terms, ["term", "is_prefix"])
+    hits = hits.select(id_col, "word", "term", "is_prefix", F.explode("categories").alias("category"))
+    # an occurrence hits a category once for every form of the word that is listed there
+    n_forms = F.size(F.collect_set(F.struct("term", "is_prefix")))
+    per_word = hits.groupBy(id_col, "word", "category").agg((F.count(F.lit(1)) / n_forms).cast("long").alias("n"))
     return per_word.groupBy(id_col, "category").agg(F.sum("n").alias("hits"))
 
 

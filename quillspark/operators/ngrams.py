@@ -47,7 +47,7 @@ def apply_vocabulary(
     The vocabulary is read for a size check and for the join, so give a written table.
     """
     counts = ngram_counts(df, ngrams, id_col)
-    return term_join(counts, vocabulary.select("ngram"), "ngram", "left_semi", salt_by=id_col)
+    return term_join(counts, vocabulary.select("ngram"), "ngram", "left_semi")
 
 
 def fit_count_vectorizer(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Observation, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.rows import explode_rows
@@ -38,25 +38,20 @@ def phrase_scores(
     tokens of a kept pair are at least as frequent as the pair, so only tokens
     with ``min_count`` occurrences take part in the joins.
 
-    The two count tables are written once: they are read for V, for the size
-    check of the join and for the join itself, and the corpus only for them.
+    Only the frequent rows of the two count tables are written; how many rows
+    there are in all is observed while they are.
     """
-    singles = materialize(
-        explode_rows(df, [], tokens_col, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")), "token-counts"
-    )
-    pairs = materialize(
-        explode_rows(df, [], _pairs(tokens_col), "p")
-        .groupBy("p.a", "p.b")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "pair-counts",
-    )
-    vocabulary = singles.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
-    frequent = singles.where(F.col("n") >= min_count)
-    candidates = pairs.where(F.col("n") >= min_count)
+    counted = Observation(), Observation()
+    every = F.count(F.lit(1)).alias("n")
+    singles = explode_rows(df, [], tokens_col, "t").groupBy("t").agg(every)
+    pairs = explode_rows(df, [], _pairs(tokens_col), "p").groupBy("p.a", "p.b").agg(every)
+    frequent = materialize(singles.observe(counted[0], every).where(F.col("n") >= min_count), "token-counts")
+    candidates = materialize(pairs.observe(counted[1], every).where(F.col("n") >= min_count), "pair-counts")
+    vocabulary = F.lit(sum(o.get["n"] for o in counted))
     first = frequent.select(F.col("t").alias("a"), F.col("n").alias("n_a"))
     second = frequent.select(F.col("t").alias("b"), F.col("n").alias("n_b"))
-    joined = term_join(candidates, first, "a", salt_by="b")
-    joined = term_join(joined, second, "b", salt_by="a")
+    joined = term_join(candidates, first, "a")
+    joined = term_join(joined, second, "b")
     score = (F.col("n") - min_count) * vocabulary.cast("double") / F.col("n_a") / F.col("n_b")
     return joined.select("a", "b", "n", score.alias("score")).where(F.col("score") > threshold)
 
@@ -72,7 +67,7 @@ def append_phrases(
     out = out or tokens_col
     tokens = F.col(tokens_col)
     places = explode_rows(df, [id_col], _pairs(tokens_col), "p").select(id_col, "p.i", "p.a", "p.b")
-    found = term_join(places, phrases.select("a", "b"), ["a", "b"], "left_semi", salt_by=id_col)
+    found = term_join(places, phrases.select("a", "b"), ["a", "b"], "left_semi")
     # candidates at neighbouring places overlap; of such a run every second one is taken, from the first
     in_post = Window.partitionBy(id_col).orderBy("i")
     in_run = Window.partitionBy(id_col, "run").orderBy("i")

@@ -60,7 +60,7 @@ def _cut_points(df: DataFrame, stratum: Column, id_col: str, seed: int, cuts: di
         filled.where(holds_a_cut).select("_s", "_b", before.alias("before"), *[f"_{n}" for n in cuts]), "cut-buckets"
     )
     inside = Window.partitionBy("_s", "_b").orderBy("_p", "_id")
-    ranked = term_join(rows, edge, ["_s", "_b"], salt_by="_id").withColumn(
+    ranked = term_join(rows, edge, ["_s", "_b"]).withColumn(
         "rank", F.col("before") + F.row_number().over(inside)
     )
     return materialize(
@@ -147,7 +147,7 @@ def stratified_split(
         .when(F.col("_test").isNotNull() & (here <= F.col("_test")), "test")
         .otherwise("validation")
     )
-    joined = term_join(df.withColumn("_s", stratum), cuts, "_s", "left", salt_by=id_col)
+    joined = term_join(df.withColumn("_s", stratum), cuts, "_s", "left")
     return joined.select(*df.columns, name.alias(split_col))
 
 

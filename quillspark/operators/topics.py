@@ -55,7 +55,7 @@ def doc_term_matrix(df: DataFrame, dictionary: DataFrame, tokens_col: str = "tok
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    joined = term_join(counts, dictionary.select("term", "term_id"), "term", salt_by=id_col)
+    joined = term_join(counts, dictionary.select("term", "term_id"), "term")
     return joined.select(id_col, "term_id", "n")
 
 
@@ -115,7 +115,7 @@ def umass_coherence(
     """
     words = explode_rows(df, [id_col], F.array_distinct(tokens_col), "term")
     listed = topics.groupBy("term").agg(F.collect_set(F.struct("topic", "rank")).alias("uses"))
-    hits = term_join(words, listed, "term", salt_by=id_col).select(id_col, F.explode("uses").alias("u"))
+    hits = term_join(words, listed, "term").select(id_col, F.explode("uses").alias("u"))
     sets = hits.groupBy(id_col, F.col("u.topic").alias("topic")).agg(F.sort_array(F.collect_set("u.rank")).alias("ranks"))
     opened = sets.groupBy("topic", "ranks").agg(F.count(F.lit(1)).alias("n"))
     pairs = F.flatten(
@@ -150,7 +150,7 @@ def npmi_coherence(
     words = df.select(id_col, F.size(tokens_col).alias("size"), F.posexplode(tokens_col).alias("pos", "term"))
     n_windows = df.agg(F.sum(F.greatest(F.size(tokens_col) - (window - 1), F.lit(1)))).scalar()
     listed = topics.groupBy("term").agg(F.collect_set(F.struct("topic", "rank")).alias("uses"))
-    hits = term_join(words, listed, "term", salt_by=id_col)
+    hits = term_join(words, listed, "term")
     # the windows that hold a position: from pos - window + 1 to pos, inside the post
     since = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     until = F.least(F.col("pos"), F.greatest(F.col("size") - window, F.lit(0))) + 1

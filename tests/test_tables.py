@@ -47,9 +47,9 @@ def test_term_join_forms_agree_on_a_hot_key(spark):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("w"))
     terms = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3)], "w string, v int")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        cols = sorted(joins.term_join(big, terms, "w", how, salt_by="id", small=True).columns)
-        one = joins.term_join(big, terms, "w", how, salt_by="id", small=True).select(*cols).fillna(-1)
-        two = joins.term_join(big, terms, "w", how, salt_by="id", small=False).select(*cols).fillna(-1)
+        cols = sorted(joins.term_join(big, terms, "w", how, small=True).columns)
+        one = joins.term_join(big, terms, "w", how, small=True).select(*cols).fillna(-1)
+        two = joins.term_join(big, terms, "w", how, small=False).select(*cols).fillna(-1)
         assert rows(one) == rows(two) and one.count() > 0
     assert joins.is_small(terms, ["w"]) and not joins.is_small(terms, ["w"], max_rows=2)
     assert not joins.is_small(terms, ["w"], max_chars=3)
