@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quillspark.catalog.base import LABELS_CTE, MASKED_CTE, labelled, query, r9, raw_posts, table
+from quillspark.catalog.base import LABELS_CTE, MASKED_CTE, labelled, query, r9, raw_posts, re2, table
 from quillspark.catalog.styles import CHAR_SQL
 from quillspark.catalog.vocabularies import _SPLIT_WORDS, split_posts
 from quillspark.functions import constants as C
+from quillspark.functions import patterns as P
 from quillspark.functions.rows import explode_rows
 from quillspark.operators import classify, evaluate, explain, features, filters, ngrams, splits
 from quillspark.plans import style as style_plan
@@ -133,7 +134,28 @@ def shown(df, *more):
     return df.select("id", "label", F.col("prediction").cast("int").alias("prediction"), *more)
 
 
-@query("train_naive_bayes")
+_NB_CTE = (
+    f"{_SPLIT_WORDS}, k AS (SELECT label, ngram, count(*) AS n FROM w WHERE split = 'train' GROUP BY ALL), "
+    "tot AS (SELECT label, sum(n) AS total FROM k GROUP BY 1), "
+    "lp AS (SELECT tot.label AS c, v.ngram, ln((coalesce(k.n, 0) + 1.0::DOUBLE) / (tot.total + (SELECT count(*) FROM vocab))::DOUBLE) AS log_prob "
+    "FROM vocab v CROSS JOIN tot LEFT JOIN k ON k.ngram = v.ngram AND k.label = tot.label), "
+    "prior AS (SELECT label AS c, ln(count(*) + 1.0::DOUBLE) - ln((SELECT count(*) FROM s WHERE split = 'train') + 2.0::DOUBLE) AS p FROM s WHERE split = 'train' GROUP BY label)"
+)
+
+
+def _nb_sql(ctes: str, posts: str, words: str) -> str:
+    """Class with the largest prior plus summed log probabilities; ``posts`` has id and label, ``words`` id and ngram."""
+    return (
+        f"WITH {_NB_CTE}{ctes}, hit AS (SELECT x.id, lp.c, sum(lp.log_prob) AS l FROM {words} x JOIN lp USING (ngram) GROUP BY ALL), "
+        f"scored AS (SELECT d.id, d.label, prior.c, prior.p + coalesce(hit.l, 0) AS l FROM {posts} d CROSS JOIN prior LEFT JOIN hit ON hit.id = d.id AND hit.c = prior.c) "
+        "SELECT id, label, (max(l) FILTER (c = 'target') > max(l) FILTER (c <> 'target'))::INTEGER AS prediction FROM scored GROUP BY ALL"
+    )
+
+
+_NB_TEST_SQL = _nb_sql("", "(SELECT id, label FROM s WHERE split = 'test')", "(SELECT id, ngram FROM w WHERE split = 'test')")
+
+
+@query("train_naive_bayes", _NB_TEST_SQL)
 def train_naive_bayes(spark, sf):
     train, test = parts(training(spark, sf))
     return shown(classify.train_naive_bayes(train).transform(test))
@@ -223,7 +245,13 @@ def calibrate(spark, sf):
     return out.select("id", "label", "score", "probability")
 
 
-@query("score_unrelated")
+@query(
+    "score_unrelated",
+    _nb_sql(
+        f", other AS (SELECT item_id AS id, 'background' AS label, text FROM benchmark), ow AS (SELECT id, unnest(regexp_extract_all(text, {re2(P.LONG_WORD)})) AS ngram FROM other)",
+        "other", "ow",
+    ),
+)
 def score_unrelated(spark, sf):
     train, _ = parts(training(spark, sf))
     model = classify.train_naive_bayes(train)
@@ -299,7 +327,7 @@ def run_log(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("save_load_model")
+@query("save_load_model", _NB_TEST_SQL)
 def save_load_model(spark, sf):
     from quillspark.sources import readers, writers
 
