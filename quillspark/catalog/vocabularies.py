@@ -270,19 +270,19 @@ def compare_side_by_side(spark, sf):
     return compare(everything, toxic, "category", "n", ("all_posts", "toxic_posts"))
 
 
-_FIRST = f"regexp_extract(text, {re2(P.PLAIN_WORD)})"
 _SHEET_CTE = (
-    f"first_words AS (SELECT lang, {_FIRST} AS word FROM documents), sheet AS (SELECT lang AS category, word AS term, FALSE AS is_prefix FROM first_words WHERE word <> '' "
-    "UNION ALL SELECT 'start', substr(word, 1, 2), TRUE FROM first_words WHERE word <> '')"
+    f"sheet_words AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, {re2(P.PLAIN_WORD)})) AS word FROM documents), "
+    "sheet AS (SELECT lang AS category, word AS term, FALSE AS is_prefix FROM sheet_words "
+    "UNION ALL SELECT 'start', substr(word, 1, 2), TRUE FROM sheet_words)"
 )
 
 
 def wide_sheet(spark, sf):
-    """A wide lexicon from the posts: first words by language, and their beginnings as prefixes."""
-    word = F.regexp_extract("text", P.PLAIN_WORD, 0)
-    columns = [F.when(F.col("language") == c, word).alias(c) for c in ("de", "en", "es", "fr")]
-    start = F.when(word != "", F.concat(F.lit(" "), F.substring(word, 1, 2), F.lit("*"))).alias("start")
-    return raw_posts(spark, sf).select(*columns, start)
+    """A wide lexicon from the posts: all words by language, and their beginnings as prefixes."""
+    words = explode_rows(raw_posts(spark, sf), ["language"], T.extract_all("text", P.PLAIN_WORD), "word").distinct()
+    columns = [F.when(F.col("language") == c, F.col("word")).alias(c) for c in ("de", "en", "es", "fr")]
+    start = F.concat(F.lit(" "), F.substring("word", 1, 2), F.lit("*")).alias("start")
+    return words.select(*columns, start)
 
 
 @query("read_lexicon", f"WITH {_SHEET_CTE} SELECT category, term, is_prefix FROM sheet")

@@ -15,7 +15,7 @@ EMOTICONS = (
     ":3", ":*", ":-*", ":^)", ":'(", ":'-(", "<3", "</3",
 )
 
-#: English function words (the default stop list, together with RETWEET_WORDS).
+#: English function words, the default stop list.
 STOP_WORDS = (
     "a", "about", "above", "after", "again", "against", "all", "am", "an", "and",
     "any", "are", "as", "at", "be", "because", "been", "before", "being", "below",
@@ -101,7 +101,6 @@ EMOJI_RANGES = (
 )
 
 #: Thresholds of the pipeline.
-FLOOD_LENGTH = 3
 MIN_TOKENS = 2
 PHRASE_MIN_COUNT = 20
 PHRASE_THRESHOLD = 10.0
@@ -109,7 +108,6 @@ DICTIONARY_MIN_DOCS = 20
 DICTIONARY_MAX_SHARE = 0.5
 DICTIONARY_KEEP = 100_000
 LDA_TOPICS = 20
-LDA_BATCH = 2000
 SPLIT_SEED = 18
 TRAIN_SHARE = 0.70
 TEST_SHARE_OF_REST = 0.32

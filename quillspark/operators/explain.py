@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 from quillspark.functions import constants as C
 
 
-def assembled_names(df: DataFrame, vector_col: str) -> list[str]:
-    """Names of the entries of an assembled vector, from the column's metadata."""
-    attrs = df.schema[vector_col].metadata["ml_attr"]
-    groups = attrs.get("attrs", {})
-    flat = [a for group in groups.values() for a in group]
-    return [a.get("name", str(a["idx"])) for a in sorted(flat, key=lambda a: a["idx"])]
-
-
 def feature_importance(spark: SparkSession, model, names: list[str]) -> DataFrame:
     """(feature, importance) ascending: coefficients of a linear model, importances of a forest."""
     values = model.coefficients if hasattr(model, "coefficients") else model.featureImportances

@@ -60,9 +60,5 @@ def pattern_search(df: DataFrame, pattern: str, text_col: str = "text") -> DataF
     )
 
 
-def matching_rows(df: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    return df.where(F.col(text_col).rlike(pattern))
-
-
 def misclassified(df: DataFrame, label_col: str = "label", prediction_col: str = "prediction") -> DataFrame:
     return df.where(F.col(label_col) != F.col(prediction_col))

@@ -208,11 +208,6 @@ def log_perplexity(model: LDAModel, bags: DataFrame) -> float:
     return -model.logPerplexity(bags)
 
 
-def topic_word_matrix(spark: SparkSession, model: LDAModel, vocabulary: list[str]) -> DataFrame:
-    """(topic, term, weight), weights of a topic sum to one."""
-    return topic_terms(spark, model, vocabulary, len(vocabulary)).select("topic", "term", "weight")
-
-
 def topic_diff(left: DataFrame, right: DataFrame, distance: str = "kullback_leibler") -> DataFrame:
     """(topic_left, topic_right, distance) for every pair of topics of two topic-term tables.
 

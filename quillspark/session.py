@@ -39,9 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The session's own folder for intermediate tables, below the shared one."""
+    return posixpath.join(shared_folder(spark), f"quillspark-{spark.sparkContext.applicationId}")
+
+
+def drop_run_folder(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables; frames that read them cannot be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in the session's folder."""
+    return posixpath.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
