@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ from quillspark.session import materialize
 
 UNKNOWN = "und"
 ORDER = 4
-MAX_WORDS, MAX_GRAMS = 200_000, 200_000
+MAX_WORDS, MAX_GRAMS = 50_000, 100_000
 #: Log discount of a step to a shorter n-gram.
 BACKOFF = float(np.log(0.4))
+#: Marks that are cut off before a word is looked at.
+_MARKS = ".,;:!?|#%&$*\"'()[]{}<>-_/"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -44,20 +47,24 @@ def normal_words(raw: str) -> list[str]:
     return [r for r in runs if r]
 
 
-def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """For all words of letters in a batch: their text and their number in a list of distinct words, and that list."""
     words, bounds = W.split_words(texts)
     codes, dictionary = W.encode(words)
-    number: dict[str, int] = {}
-    flat, sizes = [], np.empty(len(dictionary), np.int64)
-    for k, raw in enumerate(dictionary.to_pylist()):
-        found = normal_words(raw)
+    low = pc.utf8_trim(pc.utf8_lower(dictionary), _MARKS)
+    plain = pc.utf8_is_alpha(low).to_numpy(zero_copy_only=False)
+    sizes = plain.astype(np.int64)
+    odd = [(k, normal_words(raw)) for k, raw in zip(np.flatnonzero(~plain).tolist(), low.filter(pa.array(~plain)).to_pylist(), strict=True)]
+    for k, found in odd:
         sizes[k] = len(found)
-        flat += [number.setdefault(w, len(number)) for w in found]
-    flat, starts = np.array(flat, np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    starts = np.cumsum(sizes) - sizes
+    # the words of letters of all distinct words in a row: the plain ones, then the others, put in order
+    owner = np.concatenate([np.flatnonzero(plain), np.array([k for k, found in odd for _ in found], np.int64)])
+    flat = pa.concat_arrays([low.filter(pa.array(plain)), pa.array([w for _, found in odd for w in found], pa.string())])
+    number, known = W.encode(flat.take(pa.array(np.argsort(owner, kind="stable"))))
     counts = sizes[codes]
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.repeat(W.owners(bounds), counts), flat[np.repeat(starts[codes], counts) + inside], list(number)
+    return np.repeat(W.owners(bounds), counts), number[np.repeat(starts[codes], counts) + inside], known
 
 
 def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -69,7 +76,6 @@ def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             text, word, known = letter_words(W.as_strings(batch.column("text")))
             lang, langs = W.encode(batch.column("lang"))
             pairs, n = np.unique(word * len(langs) + lang[text], return_counts=True)
-            known = pa.array(known, pa.string())
             for at in range(0, len(pairs), 1 << 16):
                 part = pairs[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
@@ -84,31 +90,51 @@ def count_grams(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n): n-grams of the counted words, "^" and "$" marking their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            keys = list(seen)
-            columns = [[k[0] for k in keys], [k[1] for k in keys], list(seen.values())]
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, grams in seen.items():
+                columns = [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
 
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                marked = f"^{word}$"
+                grams, marked = seen.setdefault(lang, Counter()), f"^{word}$"
                 for end in range(1, len(marked) + 1):
                     for start in range(max(0, end - order), end):
-                        seen[lang, marked[start:end]] += n
-            if len(seen) > 500_000:
-                yield flush()
-        yield flush()
+                        grams[marked[start:end]] += n
+            if sum(map(len, seen.values())) > 500_000:
+                yield from flush()
+        yield from flush()
 
     return counts.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, key: str, limit: int) -> list:
-    """The most frequent keys, each with its counts by language."""
-    top = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry per language
-    return top.orderBy(F.desc("total"), key).limit(limit).select(key, "by").collect()
+def _frequent(counts: DataFrame, key: str, limit: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent keys, at most ``limit``, and their counts by language.
+
+    The least total that is kept is read from a table of totals rounded to three digits, so keys are never sorted; keys
+    that share the first total beyond the limit are left out together.
+    """
+    spread = counts.groupBy(key).pivot("lang", langs).agg(F.sum("n")) if langs else counts.groupBy(key).agg(F.sum("n").alias("n"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.col("total").cast("double"))) - 2, F.lit(0)))
+    steps = totals.groupBy((F.floor(F.col("total") / step) * step).cast("long").alias("at")).agg(F.count("*").alias("n")).collect()  # 900 rows a power of ten
+    least, kept = None, 0
+    for row in sorted(steps, key=lambda r: -r["at"]):
+        kept += row["n"]
+        if kept > limit:
+            break
+        least = row["at"]
+    if least is None:
+        return {}, np.zeros((0, len(langs)))
+    columns = [F.coalesce(F.col(f"`{lang}`"), F.lit(0)).cast("double").alias(str(k)) for k, lang in enumerate(langs)]
+    wide = spread.select(key, *columns).where(sum((F.col(str(k)) for k in range(len(langs))), F.lit(0.0)) >= least).toArrow()
+    order = np.argsort(np.array(wide.column(key).to_pylist(), object), kind="stable")
+    n = np.column_stack([wide.column(str(k)).to_numpy() for k in range(len(langs))])[order]
+    names = wide.column(key).to_pylist()
+    return {names[at]: k for k, at in enumerate(order.tolist())}, n
 
 
 @dataclass
@@ -149,19 +175,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     counts = materialize(count_words(docs, text_col, lang_col), "langid-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     langs = sorted(totals)
-    column = {lang: k for k, lang in enumerate(langs)}
-
-    def table(rows: list, key: str) -> tuple[dict[str, int], np.ndarray]:
-        n = np.zeros((len(rows), len(langs)))
-        for k, row in enumerate(rows):
-            for lang, count in row["by"]:
-                n[k, column[lang]] = count
-        return {row[key]: k for k, row in enumerate(rows)}, n
-
-    words, n = table(_frequent(counts, "word", max_words), "word")
+    words, n = _frequent(counts, "word", max_words, langs)
     total = np.array([totals[lang] for lang in langs], float)
     word_scores = np.log(np.maximum(n, 0.1) / np.maximum(total, 1))
-    grams, n = table(_frequent(count_grams(counts), "gram", max_grams), "gram")
+    grams, n = _frequent(materialize(count_grams(counts), "langid-grams"), "gram", max_grams, langs)
     gram_scores = np.zeros_like(n)
     letters = sum((n[k] for g, k in grams.items() if len(g) == 1), np.zeros(len(langs)))
     for gram in sorted(grams, key=len):
@@ -169,7 +186,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
         if len(gram) == 1:
             gram_scores[k] = np.log(np.maximum(n[k], 0.1) / np.maximum(letters, 1))
             continue
-        shorter = next(grams[gram[s:]] for s in range(1, len(gram)) if gram[s:] in grams)
+        shorter = next((grams[gram[s:]] for s in range(1, len(gram)) if gram[s:] in grams), k)
         context = n[grams[gram[:-1]]] if gram[:-1] in grams else n[k]
         seen = n[k] > 0
         gram_scores[k] = np.where(seen, np.log(np.where(seen, n[k], 1) / np.maximum(context, np.where(seen, n[k], 1))), BACKOFF + gram_scores[shorter])
@@ -190,7 +207,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", **keep: Colum
             names, best = np.full(size, UNKNOWN, object), np.zeros(size)
             if learned.langs:
                 text, word, known = letter_words(W.as_strings(batch.column("__text")))
-                scores = learned.score_words(known)
+                scores = learned.score_words(known.to_pylist())
                 sums = np.column_stack([np.bincount(text, scores[word, k], size) for k in range(len(learned.langs))])
                 has = np.bincount(text, minlength=size) > 0
                 odds = np.exp(sums - sums.max(axis=1, keepdims=True))

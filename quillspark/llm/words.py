@@ -107,3 +107,42 @@ def slices(batches, column: str, limit: int = 4 << 20):
         for start, end in zip(cuts, cuts[1:], strict=False):
             if end > start:
                 yield batch.slice(start, end - start)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: An odd factor and its inverse modulo 2^64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """factor^0 .. factor^(n-1) modulo 2^64; kept for the next batch."""
+    known = _POWERS.get(factor)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 20), factor, np.uint64)
+        known[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[factor] = known = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, where it begins, and the texts' bytes and bounds; without making the words themselves.
+
+    A word's hash is its polynomial in the bytes, taken from running sums over all bytes, so the cost is a few passes.
+    """
+    data, bounds = text_bytes(texts)
+    word = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds[:-1][bounds[:-1] < len(data)]] = True  # a text's first byte begins a word
+    before = np.concatenate(([False], word[:-1])) if len(word) else word
+    starts = np.flatnonzero(word & (~before | edge[:-1]))
+    after = np.concatenate((word[1:], [False])) if len(word) else word
+    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, len(data)), out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
+    return hashes, starts, data, bounds
