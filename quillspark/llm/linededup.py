@@ -2,15 +2,17 @@
 
 A line is the set of its words.  Words are put in one global order, rarest first.  Two sets with Jaccard
 similarity t or more share a word within a short prefix of that order, at places that leave room for the overlap
-needed (positional filter), and their sizes differ by a factor of at most t (length filter).  A 128-bit map of each set
+needed (positional filter), and their sizes differ by a factor of at most t (length filter).  A 64-bit map of each set
 bounds the symmetric difference from below.  What passes is verified on the words themselves.  A line goes if an
 earlier line, by (id, row hash, line number), is that similar.
 
-Rarity comes from one count over all words, kept by hash in a table of fixed size (2^24 bytes, the only thing
-that is broadcast); any order gives the same result, so shared entries cost time only.  Equal sets are folded before the
+Rarity comes from one count over all words, kept by hash in a table of fixed size (2^24 bytes); any order gives the
+same result, so shared entries cost time only.  The lines to verify are picked from the texts by a bit map of fixed size.
+Nothing else is broadcast.  Equal sets are folded before the
 join, so a line that fills a third of the corpus is one set.  A set only needs one earlier match: each prefix word
-proposes the nearest earlier candidate, and only sets whose proposals all fail are compared with all their candidates.
-So a group of thousands of variants gives a proposal per variant and word, not all pairs.
+proposes the nearest ``TRIES`` earlier candidates, and the one proposed most often is verified first.  Sets for which it
+fails are compared with all candidates where their postings meet, with the lines at hand, until one holds.  So a group of thousands of variants gives a few rows per
+variant and word, not all pairs.
 
 Nulls and odd rows: a null text, an empty one, and lines without a word are left as they are.  A document without an
 id is left whole.  Rows that share id and text are one document; both lose the same lines.  An empty table gives an
@@ -20,6 +22,7 @@ empty result.  Other columns are not read by the join; ``drop_repeated_lines`` p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ from quillspark.session import materialize
 SIMILARITY = 0.8
 #: Entries of the rarity table, and of one part of it as it travels.
 RARITY_BITS, PART = 24, 1 << 16
+#: Bits of the map that lines to verify are picked by.
+PICK_BITS = 26
+#: Candidates that a set tries at a prefix word before the exhaustive second round.
+TRIES = 1
 
 
 def needed(total: np.ndarray, t: float) -> np.ndarray:
@@ -50,10 +57,9 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << RARITY_BITS, np.int32)
         for batch in W.slices(batches, "text"):
-            words, _ = W.split_words(W.as_strings(batch.column("text")))
-            codes, dictionary = W.encode(words)
-            bucket = (W.hash_words(dictionary) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
-            np.add.at(seen, bucket, np.bincount(codes, minlength=len(dictionary)).astype(np.int32))
+            hashes = W.hashed_words(W.as_strings(batch.column("text")))[0]
+            bucket, n = np.unique(hashes >> np.uint64(64 - RARITY_BITS), return_counts=True)
+            seen[bucket.astype(np.int64)] += n.astype(np.int32)
         hit = np.flatnonzero(seen)
         for at in range(0, len(hit), 1 << 16):
             part = hit[at : at + (1 << 16)]
@@ -78,33 +84,33 @@ class LineSets:
     """Word sets of the lines of a batch: distinct words of each line in the global order."""
 
     def __init__(self, texts: pa.Array, levels: np.ndarray | None = None):
-        lines, self.line_bounds = W.split_lines(texts)
-        words, bounds = W.split_words(lines)
-        codes, dictionary = W.encode(words)
-        hashes = W.hash_words(dictionary)
+        hashes, starts, data, bounds = W.hashed_words(texts)
+        feeds = np.flatnonzero(data == 10)
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        # lines are counted through the batch; a text begins one as a line feed does
+        line = np.searchsorted(feeds, starts) + text
+        self.first_line = np.searchsorted(feeds, bounds[:-1]) + np.arange(len(bounds) - 1)
         keys = hashes
         if levels is not None:
             keys = (levels[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1))
-        rank = np.empty(len(keys), np.int64)
-        rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
-        line = W.owners(bounds)
-        places = np.sort(line * max(len(keys), 1) + rank[codes])  # lines in order, words of a line in the global order
-        places = places[np.concatenate(([True], places[1:] != places[:-1]))] if len(places) else places
-        self.line = places // max(len(keys), 1)
-        back = np.argsort(rank, kind="stable")[places % max(len(keys), 1)]
-        self.key, token = keys[back], hashes[back]
+        if len(line) and line[-1] < 1 << 22:  # one sort by line and the upper bits of the order
+            order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | (keys >> np.uint64(22)))
+        else:
+            order = np.lexsort((keys, line))
+        line, keys, token = line[order], keys[order], hashes[order]
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+        self.line, self.key, token = line[new], keys[new], token[new]
         self.full, self.start, self.size = np.unique(self.line, return_index=True, return_counts=True)
         with np.errstate(over="ignore"):
             self.ids = [np.add.reduceat(W.mix(token + np.uint64(k)), self.start) if len(token) else token for k in (0, 1)]
-        bit = W.mix(token) & np.uint64(127)
-        one = np.uint64(1)
-        low, high = np.where(bit < 64, one << (bit & np.uint64(63)), 0), np.where(bit >= 64, one << (bit & np.uint64(63)), 0)
-        self.maps = [np.bitwise_or.reduceat(m.astype(np.uint64), self.start) if len(token) else token for m in (low, high)]
+        bit = np.uint64(1) << (W.mix(token) & np.uint64(63))
+        self.map = np.bitwise_or.reduceat(bit, self.start) if len(token) else token
 
     def owner(self) -> tuple[np.ndarray, np.ndarray]:
         """For each line with a word, its text's place in the batch and its number in the text."""
-        text = np.searchsorted(self.line_bounds, self.full, side="right") - 1
-        return text, self.full - self.line_bounds[text]
+        text = np.searchsorted(self.first_line, self.full, side="right") - 1
+        return text, self.full - self.first_line[text]
 
     def prefixes(self, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Prefix words that occur more than once: bounds per line, keys and places."""
@@ -112,7 +118,8 @@ class LineSets:
         place = np.arange(len(self.line)) - np.repeat(self.start, self.size)
         use = (place <= size - np.ceil(t * size - 1e-9)) & (self.key >> np.uint64(56) > 0)
         counts = np.add.reduceat(use, self.start) if len(use) else np.zeros(0, np.int64)
-        return np.concatenate(([0], np.cumsum(counts))).astype(np.int32), self.key[use], place[use]
+        short = (self.key[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # 32 bits to meet by; what meets by chance fails later
+        return np.concatenate(([0], np.cumsum(counts))).astype(np.int32), short, place[use]
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -120,7 +127,7 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
     narrow = _narrow(docs, id_col, text_col)
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row", "line_no", "s1", "s2", "n", "m1", "m2", "prefix", "places"]
+    names = ["doc_id", "row", "line_no", "s1", "s2", "n", "map", "prefix", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -128,49 +135,61 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             text, number = sets.owner()
             bounds, keys, places = sets.prefixes(similarity)
             take = pa.array(text)
-            longs = [pa.array(x.astype(np.uint64).view(np.int64)) for x in (*sets.ids, *sets.maps)]
+            longs = [pa.array(x.view(np.int64)) for x in (*sets.ids, sets.map)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(number.astype(np.int32)), longs[0], longs[1],
-                 pa.array(sets.size.astype(np.int32)), longs[2], longs[3], pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int64))),
+                 pa.array(sets.size.astype(np.int32)), longs[2], pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int32))),
                  pa.ListArray.from_arrays(bounds, pa.array(places.astype(np.int32)))],
                 names=names,
             )
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, row long, line_no int, s1 long, s2 long, n int, m1 long, m2 long, prefix array<long>, places array<int>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, row long, line_no int, s1 long, s2 long, n int, map long, prefix array<int>, places array<int>")
 
 
-def propose(batches: Iterator[pa.RecordBatch], t: float, everything: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates among postings sorted by (key, order): the nearest earlier one of each probe, or all of them."""
+def propose(batches: Iterator[pa.RecordBatch], t: float, tries: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates (x later, y earlier) among postings sorted by (key, set): the nearest ``tries`` of each probe.
+
+    ``more`` tells that the probe has further candidates at this word.  If ``exact``, the postings bring their lines:
+    every candidate is verified here, in order, until one holds, and only that one is given.
+    """
     rest: pa.Table | None = None
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: table.column(c).to_numpy()
-        key, n, place, m1, m2, probe = (get(c) for c in ("key", "n", "place", "m1", "m2", "probe"))
-        n, place, m1, m2 = n.astype(np.int64), place.astype(np.int64), m1.view(np.uint64), m2.view(np.uint64)
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        active, back, found = np.flatnonzero(probe & (first < np.arange(len(key)))), 1, []
+        key, sets, packed, bits, probe = (get(c) for c in ("key", "set", "packed", "map", "probe"))
+        n, place, bits = packed >> 32, packed & 0xFFFFFFFF, bits.view(np.uint64)
+        everyone = np.arange(len(key))
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), everyone, 0))
+        active, back, hits = np.flatnonzero(probe & (first < everyone)), 1, np.zeros(len(key), np.int64)
+        lines = table.column("line") if exact else None
+        words = lru_cache(maxsize=50_000)(lambda at: frozenset(lines[at].as_py().encode().split()))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def batch() -> pa.RecordBatch:
+            x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(sets[x]), pa.array(sets[y]), pa.array(np.zeros(len(x), bool))], names=["x", "y", "more"])
+
         while len(active):
             x, y = active, active - back
-            most = n[x] + n[y]
-            need = needed(most, t)
+            need = needed(n[x] + n[y], t)
             ok = (np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9)
-            apart = np.bitwise_count(m1[x] ^ m1[y]).astype(np.int64) + np.bitwise_count(m2[x] ^ m2[y])
-            ok &= apart <= most - 2 * need
+            ok &= (np.bitwise_count(bits[x] ^ bits[y]) <= n[x] + n[y] - 2 * need) & (sets[x] != sets[y])  # repeated rows meet themselves
+            if exact:
+                for k in np.flatnonzero(ok):
+                    ok[k] = similar(words(int(x[k])), words(int(y[k])), t)
+            hits[x[ok]] += 1
+            ok &= hits[x] <= tries
+            active = active[hits[active] < tries + (not exact)]
             found.append((x[ok], y[ok]))
             back += 1
-            active = active if everything else active[~ok]
             active = active[active - back >= first[active]]
             if sum(len(f[0]) for f in found) > 1 << 18:
-                yield take(table, found)
+                yield batch()
                 found = []
         if found:
-            yield take(table, found)
-
-    def take(table: pa.Table, found: list) -> pa.RecordBatch:
-        x, y = (pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1))
-        columns = [table.column(c).take(at).combine_chunks() for at in (x, y) for c in ("s1", "s2")]
-        return pa.RecordBatch.from_arrays(columns, names=["x1", "x2", "y1", "y2"])
+            yield batch()
+        over = pa.array(sets[hits > tries])
+        yield pa.RecordBatch.from_arrays([over, over, pa.array(np.ones(len(over), bool))], names=["x", "y", "more"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -185,70 +204,107 @@ def propose(batches: Iterator[pa.RecordBatch], t: float, everything: bool) -> It
         yield from pairs(rest)
 
 
-def candidates(postings: DataFrame, similarity: float, everything: bool = False) -> DataFrame:
-    """Distinct candidate pairs (x later, y earlier) of sets that share a prefix word."""
-    ordered = postings.repartition("key").sortWithinPartitions("key", "doc_id", "row", "line_no")
-    ordered = ordered.select("key", "s1", "s2", "n", "place", "m1", "m2", "probe")
-    return ordered.mapInArrow(lambda b: propose(b, similarity, everything), "x1 long, x2 long, y1 long, y2 long").distinct()
+def similar(a: frozenset, b: frozenset, t: float) -> bool:
+    common = len(a & b)
+    return common >= t * (len(a) + len(b) - common) - 1e-9
 
 
-def verify(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs whose lines' words really are that similar.  ``firsts`` tells where each set occurs first."""
-    wanted = pairs.select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).unionByName(pairs.select(F.col("y1").alias("s1"), F.col("y2").alias("s2"))).distinct()
-    numbers = firsts.join(wanted, ["s1", "s2"]).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("numbers"))
-    lines = _narrow(docs, id_col, text_col).join(numbers, ["doc_id", "row"]).select(
-        F.expr("transform(numbers, i -> split(text, '\\n', -1)[i])").alias("lines")
-    )
+def candidates(postings: DataFrame, similarity: float, tries: int, exact: bool = False) -> DataFrame:
+    """Candidates (x, y, more) of sets that share a prefix word, a row for each such word."""
+    ordered = postings.repartition("key").sortWithinPartitions("key", "set").select("key", "set", "packed", "map", "probe", *(["line"] if exact else []))
+    return ordered.mapInArrow(lambda b: propose(b, similarity, tries, exact), "x long, y long, more boolean")
+
+
+def _slot(*columns: str):
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << PICK_BITS) - 1))
+
+
+def bit_map(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A map of 2^PICK_BITS bits with those of the rows' hashes set."""
+    part = 1 << 15
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = np.zeros(part, np.uint64)
+        at = table.column("word").to_numpy()
+        out[at % part] = table.column("bits").to_numpy().view(np.uint64)
+        return pa.table({"part": pa.array([int(at[0] // part)], pa.int64()), "bits": pa.array([out.tobytes()])})
+
+    slot = rows.select(_slot(*columns).alias("slot"))
+    bits = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    out = np.zeros(1 << (PICK_BITS - 6), np.uint64)
+    for row in bits.groupBy(F.floor(F.col("word") / part)).applyInArrow(pack, "part long, bits binary").collect():  # 2^PICK_BITS bits at most
+        out[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["bits"], np.uint64)
+    return out
+
+
+def lines_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set, line) of the wanted sets.  Lines are picked where their text's bit is set, so the texts are read but not moved."""
+    wanted = materialize(firsts.select("set", "doc_id", "row", "line_no").join(wanted, "set"), "lines-wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "doc_id", "row"))
+    narrow = _narrow(docs, id_col, text_col).withColumn("slot", _slot("doc_id", "row"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            flat = batch.column("lines").flatten()
-            for at in range(0, len(flat), 20_000):
-                part = flat.slice(at, 20_000)
-                sets = LineSets(pa.array(part.to_pylist(), pa.string()))
-                ids = [pa.array(x.view(np.int64)) for x in sets.ids]
-                yield pa.RecordBatch.from_arrays([*ids, part.take(pa.array(sets.full))], names=["s1", "s2", "line"])
+            slot = batch.column("slot").to_numpy()
+            hit = pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0)
+            for part in W.slices([batch.filter(hit)], "text"):
+                lines, bounds = W.split_lines(W.as_strings(part.column("text")))
+                text = W.owners(bounds)
+                number = np.arange(len(text)) - bounds[text]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array(number.astype(np.int32)), lines],
+                    names=["doc_id", "row", "line_no", "line"],
+                )
 
-    lines = materialize(lines.mapInArrow(pick, "s1 long, s2 long, line string").dropDuplicates(["s1", "s2"]), "lines-texts")
-    both = pairs.join(lines.toDF("x1", "x2", "line_x"), ["x1", "x2"]).join(lines.toDF("y1", "y2", "line_y"), ["y1", "y2"])
-    both = both.select("x1", "x2", "y1", "y2", "line_x", "line_y")
+    lines = narrow.mapInArrow(pick, f"doc_id {kind}, row long, line_no int, line string").join(wanted, ["doc_id", "row", "line_no"])
+    return materialize(lines.select("set", "line").dropDuplicates(["set"]), "lines-texts")
+
+
+def verify(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The sets x among the pairs (x, y) whose lines' words really are that similar."""
+    wanted = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
+    lines = lines_of(wanted, firsts, docs, id_col, text_col)
+    both = pairs.select("x", "y").join(lines.toDF("x", "line_x"), "x").join(lines.toDF("y", "line_y"), "y").select("x", "line_x", "line_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("line_x").to_pylist(), batch.column("line_y").to_pylist(), strict=True):
-                x, y = set(x.encode().split()), set(y.encode().split())
-                common = len(x & y)
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("x1", "x2", "y1", "y2")], names=["x1", "x2", "y1", "y2"])
+                keep.append(similar(frozenset(x.encode().split()), frozenset(y.encode().split()), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_()))], names=["x"])
 
-    return both.mapInArrow(run, "x1 long, x2 long, y1 long, y2 long")
+    return both.mapInArrow(run, "x long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per document with a word: doc_id, row (hash of the text), n_lines, and ``removed``, the numbers of its lines that go."""
     lines = materialize(line_sets(docs, id_col, text_col, similarity), "lines")
     here = F.struct("doc_id", "row", "line_no")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(here).alias("first"), F.count_distinct(here).alias("n_lines"))
-    firsts = materialize(firsts.select("s1", "s2", "first.*", "n_lines"), "lines-firsts")
-    rows = lines.join(firsts.select("s1", "s2", "doc_id", "row", "line_no"), ["s1", "s2", "doc_id", "row", "line_no"], "left_semi")
-    postings = rows.select("s1", "s2", "doc_id", "row", "line_no", "n", "m1", "m2", F.explode(F.arrays_zip("prefix", "places")).alias("w"), F.lit(True).alias("probe"))
-    postings = postings.select("w.prefix", "w.places", *(c for c in postings.columns if c != "w")).withColumnsRenamed({"prefix": "key", "places": "place"})
-
-    tried = materialize(candidates(postings, similarity), "lines-tried")
-    good = materialize(verify(tried, firsts, docs, id_col, text_col, similarity).select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).distinct(), "lines-good")
-    open_sets = tried.select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).distinct().join(good, ["s1", "s2"], "left_anti")
-    open_sets = materialize(open_sets, "lines-open")
+    firsts = lines.groupBy("s1", "s2").agg(F.min(here).alias("first"), F.count("*").alias("n_lines")).select("s1", "s2", "first.*", "n_lines")
+    # sets get numbers in the order of their first lines
+    firsts = firsts.repartitionByRange("doc_id", "row", "line_no").sortWithinPartitions("doc_id", "row", "line_no")
+    firsts = materialize(firsts.withColumn("set", F.monotonically_increasing_id()), "lines-firsts")
+    rows = lines.join(firsts.select("set", "doc_id", "row", "line_no"), ["doc_id", "row", "line_no"]).where("size(prefix) > 0")
+    postings = rows.select("set", "n", "map", F.explode(F.arrays_zip("prefix", "places")).alias("w"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("w.places").cast("long"))
+    postings = materialize(postings.select(F.col("w.prefix").alias("key"), "set", packed.alias("packed"), "map"), "lines-postings")
+
+    tried = materialize(candidates(postings.withColumn("probe", F.lit(True)), similarity, TRIES), "lines-tried")
+    # of a set's candidates the one with the most words in common comes first
+    best = tried.where("NOT more").groupBy("x", "y").agg(F.count("*").alias("n")).groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+    good = materialize(verify(materialize(best, "lines-best"), firsts, docs, id_col, text_col, similarity), "lines-good")
+    open_sets = materialize(tried.select("x").distinct().join(good, "x", "left_anti").select(F.col("x").alias("set")), "lines-open")
     if not open_sets.isEmpty():
-        mine = postings.drop("probe").join(open_sets.withColumn("probe", F.lit(True)), ["s1", "s2"])
-        keys = mine.select("key").distinct()
-        again = postings.drop("probe").join(keys, "key", "left_semi").join(open_sets.withColumn("open", F.lit(True)), ["s1", "s2"], "left")
-        again = again.withColumn("probe", F.col("open").isNotNull()).drop("open")
-        rest = materialize(candidates(again, similarity, everything=True).join(tried, ["x1", "x2", "y1", "y2"], "left_anti"), "lines-rest")
-        more = verify(rest, firsts, docs, id_col, text_col, similarity).select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).distinct()
-        good = materialize(good.unionByName(more), "lines-good")
-
-    gone = firsts.join(good.withColumn("similar", F.lit(True)), ["s1", "s2"], "left").where("similar OR n_lines > 1")
+        keys = postings.join(open_sets, "set", "left_semi").select("key").distinct()
+        again = postings.join(keys, "key", "left_semi").join(open_sets.withColumn("probe", F.lit(True)), "set", "left")
+        again = again.withColumn("probe", F.coalesce("probe", F.lit(False)))
+        again = materialize(again, "lines-again")
+        again = again.join(lines_of(again.select("set").distinct(), firsts, docs, id_col, text_col), "set")
+        good = materialize(good.unionByName(candidates(again, similarity, 1, exact=True).select("x").distinct()), "lines-good")
+
+    gone = firsts.join(good.select(F.col("x").alias("set"), F.lit(True).alias("similar")), "set", "left").where("similar OR n_lines > 1")
     gone = gone.select("s1", "s2", F.struct("doc_id", "row", "line_no").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
     marked = lines.select("s1", "s2", "doc_id", "row", "line_no").join(gone, ["s1", "s2"], "left")
     goes = F.col("first").isNotNull() & (F.col("similar") | (F.col("first") != here))
