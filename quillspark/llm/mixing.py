@@ -45,12 +45,17 @@ def _hash(*parts) -> Column:
     return F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
 
 
+def source_key(source: Column) -> Column:
+    """The source as a string that is never null, so that windows and joins can share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED,
           payload: bool = False) -> DataFrame:
     """What the mix needs of each document; with ``payload`` also the document itself, as struct ``doc``."""
     key = _hash(seed, F.col(id_col))
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"),
         key.alias("key"), F.substring(key, 1, BLOCK_DIGITS).alias("block"), F.xxhash64(text_col).alias("tie"),
         *([F.struct("*").alias("doc")] if payload else []),
     )
@@ -150,17 +155,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = materialize(targets(blocks, weights, share, repeats), "mix-targets")
     placed = place_draws(materialize(block_draws(blocks, goals, seed, repeats), "mix-draws"), shards, seed)
     per_block = placed.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("round", "shard", "words"))).alias("parts"))
-    per_block = goals.join(blocks.select(F.col("source").alias("s"), "block"), F.col("source").eqNullSafe(F.col("s"))).drop("s").join(
-        per_block, ["source_no", "block"], "left"
-    )
+    per_block = goals.withColumn("source_key", source_key(F.col("source"))).join(
+        blocks.select(source_key(F.col("source")).alias("source_key"), "block"), "source_key"
+    ).join(per_block, ["source_no", "block"], "left")
     rows = sized(docs, id_col, text_col, source_col, seed, payload=True) if payload else narrow
-    before = Window.partitionBy("source", "block").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("source_key", "block").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("start", F.sum("size").over(before) - F.col("size"))
-    known = per_block.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "parts")
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+    rows = rows.join(per_block.select("source_key", "block", "source_size", "target", "parts"), ["source_key", "block"], "left")
     cut = "transform(coalesce(parts, cast(array() as array<struct<round:int,shard:int,words:bigint>>)), p -> " \
           "named_struct('round', p.round, 'shard', p.shard, 'words', greatest(0L, least(size, p.words - start))))"
-    return rows.withColumn("draws", F.expr(f"filter({cut}, p -> p.words > 0)")).drop("start", "parts", "tie", "block")
+    return rows.withColumn("draws", F.expr(f"filter({cut}, p -> p.words > 0)")).drop("start", "parts", "tie", "block", "source_key")
 
 
 def mixed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
