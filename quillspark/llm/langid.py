@@ -177,14 +177,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     langs = sorted(totals)
     words, n = _frequent(counts, "word", max_words, langs)
     total = np.array([totals[lang] for lang in langs], float)
-    word_scores = np.log(np.maximum(n, 0.1) / np.maximum(total, 1))
+    # what a language lacks scores below anything seen, and alike in all, whatever the languages' sizes
+    word_scores = np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(total, 1)), np.log(0.1 / max(total.max(initial=1), 1)))
     grams, n = _frequent(materialize(count_grams(counts), "langid-grams"), "gram", max_grams, langs)
     gram_scores = np.zeros_like(n)
     letters = sum((n[k] for g, k in grams.items() if len(g) == 1), np.zeros(len(langs)))
     for gram in sorted(grams, key=len):
         k = grams[gram]
         if len(gram) == 1:
-            gram_scores[k] = np.log(np.maximum(n[k], 0.1) / np.maximum(letters, 1))
+            gram_scores[k] = np.where(n[k] > 0, np.log(np.maximum(n[k], 1) / np.maximum(letters, 1)), np.log(0.1 / max(letters.max(initial=1), 1)))
             continue
         shorter = next((grams[gram[s:]] for s in range(1, len(gram)) if gram[s:] in grams), k)
         context = n[grams[gram[:-1]]] if gram[:-1] in grams else n[k]
