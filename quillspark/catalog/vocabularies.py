@@ -6,10 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quillspark.catalog.base import (
-    MASKED_CTE, lit, masked, query, raw_posts, re2, sql_list, table, unnest_cte,
+    MASKED_CTE, lit, masked, query, r9, raw_posts, re2, sql_list, table, unnest_cte,
 )
 from quillspark.catalog.corpus import SPLIT_CTE, split_table
-from quillspark.catalog.styles import ANN_CTE, annotated
+from quillspark.catalog.styles import ANN_CTE, CHAR_SQL, annotated
 from quillspark.functions import constants as C
 from quillspark.functions import patterns as P
 from quillspark.functions import style
@@ -125,17 +125,24 @@ def vectorize_features(spark, sf):
     return fitted.transform(table_).select("id", F.size(vector_to_array("feature_vector")).alias("n_features"))
 
 
-@query("assemble_blocks")
+_BLOCKS = ["contains_equals", "digit_freq"]
+
+
+@query(
+    "assemble_blocks",
+    f"WITH {MASKED_CTE}, w AS (SELECT id, unnest(regexp_extract_all(text, {re2(P.LONG_WORD)})) AS ngram FROM masked), "
+    + "e AS (SELECT id, 'ngram:' || ngram AS name, count(*)::DOUBLE AS value FROM w GROUP BY ALL "
+    + " ".join(f"UNION ALL SELECT id, {lit(n)}, ({CHAR_SQL[n]})::DOUBLE FROM masked" for n in _BLOCKS)
+    + ") SELECT id, name, round(value, 9) AS value FROM e WHERE value <> 0",
+)
 def assemble_blocks(spark, sf):
-    """Character features and an n-gram block in one vector."""
-    names = ["digit_freq", "contains_equals"]
-    base = ngrams.with_word_ngrams(
-        features.extract_features(masked(spark, sf), names=names, keep=("text",)), 1
-    )
-    vectorizer = ngrams.fit_count_vectorizer(base, max_vocab=1000)
-    counted = vectorizer.transform(base)
-    assembled = ngrams.feature_assembler(names, "x", ["ngram_vector"]).transform(counted)
-    return assembled.select("id", F.size(vector_to_array("x")).alias("n_columns"))
+    """Character features and a block of all n-grams in one vector; its entries other than zero."""
+    extracted = features.extract_features(masked(spark, sf), names=_BLOCKS, keep=("text",))
+    base = materialize(ngrams.with_word_ngrams(extracted, 1).select("id", *_BLOCKS, "ngrams"), "blocks")
+    vectorizer = ngrams.fit_count_vectorizer(base)
+    assembled = ngrams.feature_assembler(_BLOCKS, "x", ["ngram_vector"]).transform(vectorizer.transform(base))
+    names = [*sorted(_BLOCKS), *(f"ngram:{n}" for n in vectorizer.vocabulary)]
+    return ngrams.vector_entries(assembled, names, "x").select("id", "name", r9("value").alias("value"))
 
 
 # -------------------------------------------------------------------------- lexicons

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Imputer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,17 @@ def feature_assembler(names: list[str], out: str = "feature_vector", vectors: li
     return VectorAssembler(inputCols=sorted(names) + list(vectors or []), outputCol=out, handleInvalid="keep")
 
 
+def vector_entries(df: DataFrame, names: list[str], vector_col: str, id_col: str = "id") -> DataFrame:
+    """(id, name, value) of a vector's entries other than zero; ``names`` are those of all its places, in order."""
+    places = pa.table({"place": pa.array(range(len(names)), pa.int32()), "name": pa.array(names, pa.string())})
+    vector = F.unwrap_udt(vector_col)
+    # a dense vector (type 1) has no list of places
+    at = F.when(vector["type"] == 0, vector["indices"]).otherwise(F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    entries = explode_rows(df, [id_col], F.arrays_zip(at.alias("place"), vector["values"].alias("value")), "entry")
+    entries = entries.select(id_col, "entry.place", "entry.value").where("value <> 0")
+    return term_join(entries, df.sparkSession.createDataFrame(places), "place").select(id_col, "name", "value")
+
+
 def vectorize_features(train: DataFrame, names: list[str], out: str = "feature_vector", vectors=None):
     """Fitted layout (mean imputation, then assembly) to be reused on other rows."""
     names = sorted(names)
