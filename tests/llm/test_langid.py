@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid as L
@@ -35,3 +36,18 @@ def test_odd_rows_and_empty_tables(spark):
     # a bounded model hands rarer words to the n-grams
     small = L.fit(docs, max_words=1, max_grams=50)
     assert len(small.words) <= 1 and 0 < len(small.grams) <= 50
+
+
+def test_words_and_grams_of_a_small_language_beside_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_WORDS", 100, raising=False)  # the words' scores come by join
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(56_000)})
+    often, small, unseen = words[:52_000], words[52_000:52_040], words[52_040:52_080]
+    rows = [(k, " ".join(often[k % 260 :: 260]), "aa", "s") for k in range(520)] + [(1000, " ".join(small), "bb", "s")]
+    model = L.fit(spark.createDataFrame(rows, SCHEMA))
+    texts = [" ".join(small), " ".join(small[:3] + often[:2]), " ".join(unseen), f"{unseen[0]} {small[1]}x ñandú", "ñ", *unseen, *small, None]
+    docs = spark.createDataFrame([(k, t, None, "s") for k, t in enumerate(texts)], SCHEMA)
+    got, whole = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.predict(docs, m, doc_id=F.col("doc_id")).collect()}
+                  for m in (model, L.fit(spark.createDataFrame(rows, SCHEMA), max_words=10**9, max_grams=10**9)))
+    assert got[0] == ("bb", 1.0) and len(got) == len(texts)
+    assert all(got[k][0] == whole[k][0] and abs(got[k][1] - whole[k][1]) < 1e-9 for k in whole)
