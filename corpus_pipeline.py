@@ -44,7 +44,7 @@ STAGES = [
     ("quality rules", quality_rules), ("line dedup", line_dedup), ("near duplicates", near_duplicates), ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: SQL has no byte-level tokenizer, so the rows are tested against a brute-force version.
+#: SQL has no byte-level tokenizer.  Tests check each stage's invariants; there is no brute-force version of the whole yet.
 ORACLE_SQL = None
 
 
