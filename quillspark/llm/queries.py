@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
+from quillspark.llm import exactdedup, langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
 from quillspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,17 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     book.apply("delete", deletes[0].unionByName(deletes[1]))
     book.apply("insert-words-1", inserts["words-1"])  # sent twice, counted once
     return book.totals()
+
+
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
+g AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS n FROM d)
+SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
+"""
+
+
+@query("op12_exact_dedup", EXACT_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its equal texts; documents of even id checksum are the history, the others a new batch."""
+    found = exactdedup.dedup(table(spark, sf_dir, "documents"), fold("doc_id", 2) == 0)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
