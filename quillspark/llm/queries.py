@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import exactdedup, langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
+from quillspark.llm import align, exactdedup, langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
 from quillspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,17 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays of its equal texts; documents of even id checksum are the history, the others a new batch."""
     found = exactdedup.dedup(table(spark, sf_dir, "documents"), fold("doc_id", 2) == 0)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def vocabulary(name: str) -> bytes:
+    """A public tokenizer's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, groups and links under the two tokenizers, and how common its links are."""
+    return align.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
