@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import align, exactdedup, langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
+from quillspark.llm import align, collocate, exactdedup, langid, linededup, lm, minhash, mixing, nearvec, packing, quality, rollup, warc
 from quillspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,29 @@ def vocabulary(name: str) -> bytes:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, groups and links under the two tokenizers, and how common its links are."""
     return align.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+PHRASES_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ')]) AS phrase FROM starts, (SELECT unnest(range(1, {collocate.LONGEST + 1})) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {collocate.MIN_COUNT}),
+cuts AS (SELECT lang, m, phrase, a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+scored AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, s.n, 1000::HUGEINT * c.a * s.n // (l.a::HUGEINT * r.a) AS score
+           FROM cuts c JOIN sizes s ON s.lang = c.lang JOIN f l ON l.lang = c.lang AND l.m = c.k AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+           JOIN f r ON r.lang = c.lang AND r.m = c.m - c.k AND r.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f t ON t.lang = s.lang AND t.m > s.m AND 100 * t.a >= 100 * s.a
+            AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+kept AS (SELECT b.* FROM lowest b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase WHERE b.nth = 1 AND c.phrase IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= {collocate.TOP}
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two to five words that occur together far more often than their parts would by chance."""
+    return collocate.collocations(table(spark, sf_dir, "documents"))
