@@ -66,4 +66,14 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stage_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables given by ``materialize`` whose last reader has been written; they cannot be read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

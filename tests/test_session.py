@@ -12,3 +12,11 @@ def test_the_run_folder_can_be_dropped(spark, monkeypatch):
     session.drop_run_folder(spark)
     assert not os.path.exists(folder.removeprefix("file:"))
     assert session.materialize(spark.range(3), "numbers").count() == 3
+
+
+def test_discarded_table_is_gone(spark):
+    table = session.materialize(spark.range(5).toDF("x"))
+    files = table.inputFiles()
+    assert table.count() == 5 and files
+    session.discard(table)
+    assert not os.path.exists(files[0].removeprefix("file://"))
