@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from quillspark.llm import words as W
 from quillspark.llm.align import packed, unpacked
 from quillspark.operators.joins import term_join
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text in a block.
 BLOCK = 8 << 20
+#: A stream of at most so many phrases (24 bytes each) is held by every task; a larger one is joined with the blocks.
+IN_MEMORY = 2_000_000
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
 _GAP[[*b".,;:!? \t", *range(10, 14)]] = True
@@ -95,6 +97,19 @@ def _pair_keys(codes: np.ndarray, width: int) -> np.ndarray:
     return np.where(both, (codes[:-1] - 1) * width + codes[1:] - 1, -1)
 
 
+def _coded(codes: np.ndarray, entry: np.ndarray, keys: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
+    """A block's row of the next stream; ``keys`` are the frequent ones among ``entry``, in order, with their ids."""
+    place = np.minimum(np.searchsorted(keys, entry), max(len(keys) - 1, 0))
+    codes = np.where(keys[place] == entry, place + 1, 0) if len(keys) else np.zeros(0, np.int64)
+    codes = codes[(codes > 0) | (np.append(codes[1:], 0) > 0)]  # one 0 between runs will do
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array([block]), "codes": pa.array([packed(codes)], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())),
+    })
+
+
+_STREAM = "block long, codes binary, ids array<long>"
+
+
 def _recode(blocks: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame:
     """The next stream, written: block, codes, ids.  Codes are places in ``ids`` from 1, 0 where no frequent entry begins."""
     old = F.size("ids") if pairs else F.lit(0)
@@ -103,16 +118,36 @@ def _recode(blocks: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                codes, keys = unpacked(batch.column("codes")[k].as_py()), batch.column("keys")[k].values.to_numpy()
-                entry = _pair_keys(codes, batch.column("width")[k].as_py()) if pairs else codes - 1
-                place = np.minimum(np.searchsorted(keys, entry), len(keys) - 1)
-                codes = np.where(keys[place] == entry, place + 1, 0)
-                codes = codes[(codes > 0) | (np.append(codes[1:], 0) > 0)]  # one 0 between runs will do
-                yield pa.RecordBatch.from_pydict({
-                    "block": batch.column("block").slice(k, 1), "codes": pa.array([packed(codes)], pa.binary()), "ids": batch.column("ids").slice(k, 1),
-                })
+                block, codes, width = (batch.column(c)[k].as_py() for c in ("block", "codes", "width"))
+                keys, ids = (batch.column(c)[k].values.to_numpy() for c in ("keys", "ids"))
+                codes = unpacked(codes)
+                yield _coded(codes, _pair_keys(codes, width) if pairs else codes - 1, keys, ids, block)
+
+    return materialize(rows.mapInArrow(run, _STREAM), "phrase-stream")
+
+
+def _recode_in_place(stream: DataFrame, grams: DataFrame) -> DataFrame:
+    """As ``_recode`` for pairs, where the frequent pairs are few enough to be held by every task."""
+    held = grams.select("prefix", "suffix", "id").orderBy("id").toArrow()  # at most IN_MEMORY rows
+    shared = stream.sparkSession.sparkContext.broadcast([held.column(c).to_numpy() for c in held.column_names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, suffix, numbers = shared.value
+        ends = np.unique(suffix)
+        starts, row = np.unique(prefix, return_inverse=True)
+        known = row * len(ends) + np.searchsorted(ends, suffix)  # rises with the id
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, codes = batch.column("ids")[k].values.to_numpy(), unpacked(batch.column("codes")[k].as_py())
+                entry = _pair_keys(codes, len(ids))
+                keys = np.unique(entry[entry >= 0])
+                first, last = ids[keys // max(len(ids), 1)], ids[keys % max(len(ids), 1)]
+                x, y = (np.minimum(np.searchsorted(a, v), len(a) - 1) for a, v in ((starts, first), (ends, last)))
+                at = np.minimum(np.searchsorted(known, x * len(ends) + y), len(known) - 1)
+                hit = (prefix[at] == first) & (suffix[at] == last)
+                yield _coded(codes, entry, keys[hit], numbers[at[hit]], batch.column("block")[k].as_py())
 
-    return materialize(rows.mapInArrow(run, "block long, codes binary, ids array<long>"), "phrase-stream")
+    return materialize(stream.select("block", "codes", "ids").mapInArrow(run, _STREAM), "phrase-stream")
 
 
 def _pairs(stream: DataFrame) -> DataFrame:
@@ -145,20 +180,27 @@ def count_streams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     sizes = materialize(blocks.groupBy("lang").agg(F.sum(total).alias("n")), "phrase-sizes")
     frequent = lambda n: F.sum(n).alias("a")
     words = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("w"))
-    counted = words.groupBy("lang", "w.word").agg(frequent("w.n")).where(F.col("a") >= min_count)
-    grams = _numbered(materialize(counted, "phrase-counts"), "lang", "word")
+    counts = materialize(words.groupBy("lang", "w.word").agg(frequent("w.n")).where(F.col("a") >= min_count), "phrase-counts")
+    grams = _numbered(counts, "lang", "word")
     streams = [grams]
     places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")).select("block", "lang", "word", F.col("place").cast("long").alias("key"))
     stream = _recode(blocks, _answers(term_join(places, grams.select("lang", "word", "id"), ["lang", "word"])), False)
+    discard(blocks, counts)
     while len(streams) < longest:
-        counted = _pairs(stream).groupBy("prefix", "suffix").agg(frequent("n")).where(F.col("a") >= min_count)
-        grams = _numbered(materialize(counted, "phrase-counts"), "prefix", "suffix")
-        if grams.isEmpty():
+        counts = materialize(_pairs(stream).groupBy("prefix", "suffix").agg(frequent("n")).where(F.col("a") >= min_count), "phrase-counts")
+        grams = _numbered(counts, "prefix", "suffix")
+        n_grams, before = grams.count(), stream
+        if n_grams:
+            streams.append(grams)
+        if n_grams and len(streams) < longest:
+            if n_grams <= IN_MEMORY:
+                stream = _recode_in_place(stream, grams)
+            else:
+                found = _pairs(stream).drop("n").join(grams.select("prefix", "suffix", "id"), ["prefix", "suffix"])
+                stream = _recode(stream, _answers(found), True)
+        discard(before, counts)
+        if not n_grams:
             break
-        streams.append(grams)
-        if len(streams) < longest:
-            found = term_join(_pairs(stream).drop("n"), grams.select("prefix", "suffix", "id"), ["prefix", "suffix"])
-            stream = _recode(stream, _answers(found), True)
     return sizes, streams
 
 

@@ -55,7 +55,8 @@ def test_collocations_equal_a_full_count(spark, monkeypatch):
     rows.append(("en", "ha " * 3000))  # overlaps count
     monkeypatch.setattr(C, "BLOCK", 4000)
     docs = spark.createDataFrame([(k, lang, t, "c") for k, (lang, t) in enumerate(rows)], "block long, lang string, text string, ids string").repartition(4)
-    for longest, least, top in ((5, 5, 2000), (3, 40, 7), (2, 3, 50)):
+    for longest, least, top, held in ((5, 5, 2000, 10**6), (5, 5, 2000, 0), (3, 40, 7, 60), (2, 3, 50, 0)):
+        monkeypatch.setattr(C, "IN_MEMORY", held)
         got = C.collocations(docs, longest=longest, min_count=least, top=top).collect()
         assert sorted(map(tuple, got)) == plain(rows, longest, least, top)
     assert C.collocations(docs.limit(0)).count() == 0
