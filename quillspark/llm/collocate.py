@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
 from quillspark.llm.align import packed, unpacked
-from quillspark.operators.joins import term_join
+from quillspark.operators.joins import is_small, term_join
 from quillspark.session import discard, materialize
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text in a block.
 BLOCK = 8 << 20
-#: A stream of at most so many phrases (24 bytes each) is held by every task; a larger one is joined with the blocks.
-IN_MEMORY = 2_000_000
+#: A stream of at most so many phrases (24 bytes each), or words with so many characters in all, is held by every task; a
+#: larger one is joined with the blocks.
+IN_MEMORY, IN_MEMORY_CHARS = 2_000_000, 32_000_000
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
 _GAP[[*b".,;:!? \t", *range(10, 14)]] = True
@@ -97,7 +98,7 @@ def _pair_keys(codes: np.ndarray, width: int) -> np.ndarray:
     return np.where(both, (codes[:-1] - 1) * width + codes[1:] - 1, -1)
 
 
-def _coded(codes: np.ndarray, entry: np.ndarray, keys: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
+def _coded(entry: np.ndarray, keys: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
     """A block's row of the next stream; ``keys`` are the frequent ones among ``entry``, in order, with their ids."""
     place = np.minimum(np.searchsorted(keys, entry), max(len(keys) - 1, 0))
     codes = np.where(keys[place] == entry, place + 1, 0) if len(keys) else np.zeros(0, np.int64)
@@ -121,11 +122,31 @@ def _recode(blocks: DataFrame, answers: DataFrame, pairs: bool) -> DataFrame:
                 block, codes, width = (batch.column(c)[k].as_py() for c in ("block", "codes", "width"))
                 keys, ids = (batch.column(c)[k].values.to_numpy() for c in ("keys", "ids"))
                 codes = unpacked(codes)
-                yield _coded(codes, _pair_keys(codes, width) if pairs else codes - 1, keys, ids, block)
+                yield _coded(_pair_keys(codes, width) if pairs else codes - 1, keys, ids, block)
 
     return materialize(rows.mapInArrow(run, _STREAM), "phrase-stream")
 
 
+def _recode_words_in_place(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """As ``_recode`` for words, where the frequent words are few and short enough to be held by every task."""
+    held = {}
+    for lang, word, number in zip(*(c.to_pylist() for c in grams.select("lang", "word", "id").toArrow().columns), strict=True):  # at most IN_MEMORY rows
+        held.setdefault(lang, ([], []))[0].append(word)
+        held[lang][1].append(number)
+    shared = blocks.sparkSession.sparkContext.broadcast({k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in held.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                known, numbers = shared.value.get(batch.column("lang")[k].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
+                place = pc.fill_null(pc.index_in(batch.column("words")[k].values, known), -1).to_numpy().astype(np.int64)
+                keys = np.flatnonzero(place >= 0)
+                entry = unpacked(batch.column("codes")[k].as_py()) - 1
+                yield _coded(entry, keys, numbers[place[keys]], batch.column("block")[k].as_py())
+
+    return materialize(blocks.select("block", "lang", "codes", "words").mapInArrow(run, _STREAM), "phrase-stream")
+
+
 def _recode_in_place(stream: DataFrame, grams: DataFrame) -> DataFrame:
     """As ``_recode`` for pairs, where the frequent pairs are few enough to be held by every task."""
     held = grams.select("prefix", "suffix", "id").orderBy("id").toArrow()  # at most IN_MEMORY rows
@@ -145,7 +166,7 @@ def _recode_in_place(stream: DataFrame, grams: DataFrame) -> DataFrame:
                 x, y = (np.minimum(np.searchsorted(a, v), len(a) - 1) for a, v in ((starts, first), (ends, last)))
                 at = np.minimum(np.searchsorted(known, x * len(ends) + y), len(known) - 1)
                 hit = (prefix[at] == first) & (suffix[at] == last)
-                yield _coded(codes, entry, keys[hit], numbers[at[hit]], batch.column("block")[k].as_py())
+                yield _coded(entry, keys[hit], numbers[at[hit]], batch.column("block")[k].as_py())
 
     return materialize(stream.select("block", "codes", "ids").mapInArrow(run, _STREAM), "phrase-stream")
 
@@ -183,8 +204,11 @@ def count_streams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counts = materialize(words.groupBy("lang", "w.word").agg(frequent("w.n")).where(F.col("a") >= min_count), "phrase-counts")
     grams = _numbered(counts, "lang", "word")
     streams = [grams]
-    places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")).select("block", "lang", "word", F.col("place").cast("long").alias("key"))
-    stream = _recode(blocks, _answers(term_join(places, grams.select("lang", "word", "id"), ["lang", "word"])), False)
+    if is_small(grams, IN_MEMORY, IN_MEMORY_CHARS):
+        stream = _recode_words_in_place(blocks, grams)
+    else:
+        places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")).withColumn("key", F.col("place").cast("long"))
+        stream = _recode(blocks, _answers(places.join(grams.select("lang", "word", "id"), ["lang", "word"])), False)
     discard(blocks, counts)
     while len(streams) < longest:
         counts = materialize(_pairs(stream).groupBy("prefix", "suffix").agg(frequent("n")).where(F.col("a") >= min_count), "phrase-counts")
