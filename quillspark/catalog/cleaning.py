@@ -12,8 +12,9 @@ from quillspark.functions import constants as C
 from quillspark.functions import patterns as P
 from quillspark.functions import text as X
 from quillspark.functions import tokens as T
-from quillspark.operators import filters
+from quillspark.operators import blocks, filters
 from quillspark.plans import preprocess
+from quillspark.session import materialize
 
 
 def joined(tokens):
@@ -201,6 +202,27 @@ def lemmatize(spark, sf):
     return norm(spark, sf).select("id", joined(T.lemmatize("tokens")).alias("lemmas"))
 
 
+_LEMMA_TABLE = (
+    "words AS (SELECT DISTINCT lower(t) AS w FROM toks), "
+    "known AS (SELECT p.w AS term, s.w AS lemma FROM words p JOIN words s ON p.w = s.w || 's' WHERE length(s.w) > 2)"
+)
+
+
+@query(
+    "lemmatize_by_table",
+    f"WITH {NORM_CTE}, {_LEMMA_TABLE}, l AS (SELECT id, string_agg(coalesce(lemma, lower(t)), ' ' ORDER BY pos) AS lemmas FROM toks LEFT JOIN known ON term = lower(t) GROUP BY id) "
+    "SELECT m.id, coalesce(lemmas, '') AS lemmas FROM masked m LEFT JOIN l ON l.id = m.id",
+)
+def lemmatize_by_table(spark, sf):
+    """Plurals of the corpus, found in the corpus itself: a word in s whose singular occurs too."""
+    tokens = norm(spark, sf).select("id", F.transform("tokens", F.lower).alias("tokens"))
+    posts = blocks.term_blocks(tokens, "tokens", ["id"])
+    words = materialize(blocks.term_totals(posts).select("term"), "words")
+    singular = words.where("length(term) > 2").select(F.col("term").alias("lemma"), F.concat("term", F.lit("s")).alias("term"))
+    lemmas = materialize(words.join(singular, "term"), "lemmas")
+    return blocks.replace_terms(posts, lemmas, "lemma").select("id", joined("terms").alias("lemmas"))
+
+
 @query("keep_content_tokens", list_query(NORM_CTE, "toks", CONTENT_WHERE, "t", "tokens", "masked"))
 def keep_content_tokens(spark, sf):
     return norm(spark, sf).select("id", joined(T.keep_content_tokens("tokens")).alias("tokens"))

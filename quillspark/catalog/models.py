@@ -11,7 +11,7 @@ from quillspark.catalog.vocabularies import _SPLIT_WORDS, split_posts
 from quillspark.functions import constants as C
 from quillspark.functions import patterns as P
 from quillspark.functions.rows import explode_rows
-from quillspark.operators import classify, evaluate, explain, features, filters, ngrams, splits
+from quillspark.operators import blocks, classify, evaluate, explain, features, filters, ngrams, splits, term_models
 from quillspark.plans import style as style_plan
 from quillspark.session import materialize, new_path
 
@@ -161,6 +161,22 @@ def train_naive_bayes(spark, sf):
     return shown(classify.train_naive_bayes(train).transform(test))
 
 
+@query("naive_bayes_from_tables", _NB_TEST_SQL)
+def naive_bayes_from_tables(spark, sf):
+    """Naive Bayes whose vocabulary and log probabilities are tables."""
+    train, test = (blocks.term_blocks(rows, "ngrams", ["id", "label"]) for rows in parts(materialize(split_posts(spark, sf), "split-posts")))
+    scored = term_models.NaiveBayesTable.fit(train).predict(test)
+    return scored.select("id", "label", (F.col("prediction") == "target").cast("int").alias("prediction"))
+
+
+@query("train_squared_hinge")
+def train_squared_hinge(spark, sf):
+    """Linear SVM with squared hinge loss on word counts, weights in a table."""
+    train, test = (blocks.term_blocks(rows, "ngrams", ["id", "label"]) for rows in parts(materialize(split_posts(spark, sf), "split-posts")))
+    model = term_models.SquaredHinge.fit(train, "label", "target", c=C.SVM_C)
+    return shown(model.predict(test), "score")
+
+
 @query(
     "naive_bayes_log_probabilities",
     f"WITH {_SPLIT_WORDS}, k AS (SELECT label, ngram, count(*) AS n FROM w WHERE split = 'train' GROUP BY ALL), "

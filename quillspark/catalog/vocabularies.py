@@ -15,7 +15,7 @@ from quillspark.functions import patterns as P
 from quillspark.functions import style
 from quillspark.functions import tokens as T
 from quillspark.functions.rows import explode_rows
-from quillspark.operators import features, lexicon, ngrams, stats
+from quillspark.operators import blocks, features, lexicon, ngrams, stats
 from quillspark.session import materialize
 
 # -------------------------------------------------------------------------- n-grams
@@ -131,18 +131,19 @@ _BLOCKS = ["contains_equals", "digit_freq"]
 @query(
     "assemble_blocks",
     f"WITH {MASKED_CTE}, w AS (SELECT id, unnest(regexp_extract_all(text, {re2(P.LONG_WORD)})) AS ngram FROM masked), "
-    + "e AS (SELECT id, 'ngram:' || ngram AS name, count(*)::DOUBLE AS value FROM w GROUP BY ALL "
-    + " ".join(f"UNION ALL SELECT id, {lit(n)}, ({CHAR_SQL[n]})::DOUBLE FROM masked" for n in _BLOCKS)
-    + ") SELECT id, name, round(value, 9) AS value FROM e WHERE value <> 0",
+    f"v AS (SELECT ngram, row_number() OVER (ORDER BY count(*) DESC, ngram) + {len(_BLOCKS) - 1} AS place FROM w GROUP BY ngram), "
+    "e AS (SELECT id, ngram, count(*)::DOUBLE AS value FROM w GROUP BY ALL), "
+    "a AS (SELECT id, place, 'ngram:' || ngram AS name, value FROM e JOIN v USING (ngram) "
+    + " ".join(f"UNION ALL SELECT id, {k}, {lit(n)}, ({CHAR_SQL[n]})::DOUBLE FROM masked" for k, n in enumerate(_BLOCKS))
+    + ") SELECT id, place::BIGINT AS place, name, round(value, 9) AS value FROM a WHERE value <> 0",
 )
 def assemble_blocks(spark, sf):
     """Character features and a block of all n-grams in one vector; its entries other than zero."""
     extracted = features.extract_features(masked(spark, sf), names=_BLOCKS, keep=("text",))
-    base = materialize(ngrams.with_word_ngrams(extracted, 1).select("id", *_BLOCKS, "ngrams"), "blocks")
-    vectorizer = ngrams.fit_count_vectorizer(base)
-    assembled = ngrams.feature_assembler(_BLOCKS, "x", ["ngram_vector"]).transform(vectorizer.transform(base))
-    names = [*sorted(_BLOCKS), *(f"ngram:{n}" for n in vectorizer.vocabulary)]
-    return ngrams.vector_entries(assembled, names, "x").select("id", "name", r9("value").alias("value"))
+    words = blocks.term_blocks(ngrams.with_word_ngrams(extracted, 1), "ngrams", ["id", *_BLOCKS])
+    vectors = blocks.count_vectors(words, blocks.index_terms(blocks.term_totals(words)))
+    entries = ngrams.assembled_entries(vectors, _BLOCKS, "ngram:")
+    return entries.select("id", "place", "name", r9("value").alias("value"))
 
 
 # -------------------------------------------------------------------------- lexicons

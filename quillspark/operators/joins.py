@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A term table is broadcast only up to this many rows and key characters.
+#: A term table is broadcast only up to this many rows and characters of all columns.
 BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 16_000_000
 

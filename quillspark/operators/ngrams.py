@@ -76,6 +76,22 @@ def vector_entries(df: DataFrame, names: list[str], vector_col: str, id_col: str
     return term_join(entries, df.sparkSession.createDataFrame(places), "place").select(id_col, "name", "value")
 
 
+def assembled_entries(vectors: DataFrame, names: list[str], prefix: str = "", id_col: str = "id") -> DataFrame:
+    """(id, place, name, value) of the entries other than zero: the named columns in sorted order, then the term block.
+
+    ``vectors`` has the named columns beside the places, terms and values of ``blocks.count_vectors``.
+    """
+    names = sorted(names)
+    kind = "struct<place: bigint, name: string, value: double>"
+    ahead = [F.struct(F.lit(k).alias("place"), F.lit(n).alias("name"), F.col(n).alias("value")).cast(kind) for k, n in enumerate(names)]
+    block = F.transform(
+        F.arrays_zip("places", "terms", "values"),
+        lambda e: F.struct((e["places"] + len(names)).alias("place"), F.concat(F.lit(prefix), e["terms"]).alias("name"), e["values"].alias("value")).cast(kind),
+    )
+    entries = explode_rows(vectors, [id_col], F.concat(F.array(*ahead), block) if ahead else block, "entry")
+    return entries.select(id_col, "entry.*").where("value <> 0")
+
+
 def vectorize_features(train: DataFrame, names: list[str], out: str = "feature_vector", vectors=None):
     """Fitted layout (mean imputation, then assembly) to be reused on other rows."""
     names = sorted(names)

@@ -51,8 +51,8 @@ def test_term_join_forms_agree_on_a_hot_key(spark):
         one = joins.term_join(big, terms, "w", how, small=True).select(*cols).fillna(-1)
         two = joins.term_join(big, terms, "w", how, small=False).select(*cols).fillna(-1)
         assert rows(one) == rows(two) and one.count() > 0
-    assert joins.is_small(terms, ["w"]) and not joins.is_small(terms, ["w"], max_rows=2)
-    assert not joins.is_small(terms, ["w"], max_chars=3)
+    assert joins.is_small(terms) and not joins.is_small(terms, max_rows=2)
+    assert not joins.is_small(terms, max_chars=3)
 
 
 def test_empty_days_count_zero(spark):
