@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.session import materialize
+from quillspark.session import discard, materialize
 
 SIMILARITY = 0.8
 #: Entries of the rarity table, and of one part of it as it travels.
@@ -84,7 +84,7 @@ class LineSets:
     """Word sets of the lines of a batch: distinct words of each line in the global order."""
 
     def __init__(self, texts: pa.Array, levels: np.ndarray | None = None):
-        hashes, starts, data, bounds = W.hashed_words(texts)
+        hashes, starts, data, bounds, others = W.hashed_words(texts, both=True)
         feeds = np.flatnonzero(data == 10)
         text = np.searchsorted(bounds, starts, side="right") - 1
         # lines are counted through the batch; a text begins one as a line feed does
@@ -97,13 +97,13 @@ class LineSets:
             order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | (keys >> np.uint64(22)))
         else:
             order = np.lexsort((keys, line))
-        line, keys, token = line[order], keys[order], hashes[order]
+        line, keys, token, other = line[order], keys[order], hashes[order], others[order]
         new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        self.line, self.key, token = line[new], keys[new], token[new]
+        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1]) | (other[1:] != other[:-1])
+        self.line, self.key, token, other = line[new], keys[new], token[new], other[new]
         self.full, self.start, self.size = np.unique(self.line, return_index=True, return_counts=True)
         with np.errstate(over="ignore"):
-            self.ids = [np.add.reduceat(W.mix(token + np.uint64(k)), self.start) if len(token) else token for k in (0, 1)]
+            self.ids = [np.add.reduceat(W.mix(t), self.start) if len(t) else t for t in (token, other)]  # two independent hashes: 128 bits
         bit = np.uint64(1) << (W.mix(token) & np.uint64(63))
         self.map = np.bitwise_or.reduceat(bit, self.start) if len(token) else token
 
@@ -259,7 +259,9 @@ def lines_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str,
                 )
 
     lines = narrow.mapInArrow(pick, f"doc_id {kind}, row long, line_no int, line string").join(wanted, ["doc_id", "row", "line_no"])
-    return materialize(lines.select("set", "line").dropDuplicates(["set"]), "lines-texts")
+    texts = materialize(lines.select("set", "line").dropDuplicates(["set"]), "lines-texts")
+    discard(wanted)
+    return texts
 
 
 def verify(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -294,8 +296,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = materialize(candidates(postings.withColumn("probe", F.lit(True)), similarity, TRIES), "lines-tried")
     # of a set's candidates the one with the most words in common comes first
     best = tried.where("NOT more").groupBy("x", "y").agg(F.count("*").alias("n")).groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
-    good = materialize(verify(materialize(best, "lines-best"), firsts, docs, id_col, text_col, similarity), "lines-good")
+    best = materialize(best, "lines-best")
+    good = materialize(verify(best, firsts, docs, id_col, text_col, similarity), "lines-good")
     open_sets = materialize(tried.select("x").distinct().join(good, "x", "left_anti").select(F.col("x").alias("set")), "lines-open")
+    discard(tried, best)
     if not open_sets.isEmpty():
         keys = postings.join(open_sets, "set", "left_semi").select("key").distinct()
         again = postings.join(keys, "key", "left_semi").join(open_sets.withColumn("probe", F.lit(True)), "set", "left")

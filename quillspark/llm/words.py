@@ -111,9 +111,8 @@ def slices(batches, column: str, limit: int = 4 << 20):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-#: An odd factor and its inverse modulo 2^64.
+#: An odd factor.
 _FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -128,11 +127,21 @@ def _powers(factor: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Words of so many bytes are hashed by xxHash: for long words a polynomial modulo 2^64 can be made to collide by design.
+_LONG = 256
+#: For the second hash: a value of its own for every byte, and another odd factor.
+_VALUES = mix(np.arange(256, dtype=np.uint64) << np.uint64(32))
+_FACTOR_2 = 0xBF58476D1CE4E5B9
+
+
+def hashed_words(texts: pa.Array, both: bool = False) -> tuple[np.ndarray, ...]:
     """Hash of every word, where it begins, and the texts' bytes and bounds; without making the words themselves.
 
     A word's hash is its polynomial in the bytes, taken from running sums over all bytes, so the cost is a few passes.
+    If ``both``, a second hash by other values and another factor comes last, so that the two identify a word by 128 bits.
     """
+    import xxhash
+
     data, bounds = text_bytes(texts)
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -141,8 +150,17 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate((word[1:], [False])) if len(word) else word
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, len(data)), out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
-    return hashes, starts, data, bounds
+    long = np.flatnonzero(ends - starts >= _LONG)
+
+    def hashes(values: np.ndarray, factor: int, seed: int) -> np.ndarray:
+        inverse = pow(factor, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(values * _powers(factor, len(data)), out=sums[1:])
+            out = mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
+        for k in long:
+            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+        return out
+
+    found = (hashes(data.astype(np.uint64) + np.uint64(1), _FACTOR, 0), starts, data, bounds)
+    return (*found, hashes(_VALUES[data], _FACTOR_2, 1)) if both else found

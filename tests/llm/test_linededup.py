@@ -63,3 +63,13 @@ def test_nulls_empties_ties_repeats_and_clashing_columns(spark):
     assert got == sorted(want, key=str)
     assert L.repeated_lines(docs.limit(0)).count() == 0
     assert L.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    """Words whose polynomials agree modulo 2^64 (the Thue-Morse sequence and its complement) are different words."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, one), (4, one[:1024]), (5, other[:1024]), (6, one[:128]), (7, other[:128])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in L.repeated_lines(docs).collect()}
+    assert got == {1: [], 2: [], 3: [0], 4: [], 5: [], 6: [], 7: []}
