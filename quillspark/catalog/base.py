@@ -73,15 +73,24 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked(raw: DataFrame) -> DataFrame:
+    """Marks appended to the texts of raw posts."""
+    return raw.withColumn("text", F.concat("text", tail(F.col("id"), F.col("language"), F.col("user"))))
+
+
+def mask(df: DataFrame) -> DataFrame:
+    """Mentions and links masked."""
+    return df.withColumn("text", X.mask_urls(X.mask_mentions("text")))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with the marks appended."""
-    raw = raw_posts(spark, sf_dir)
-    return raw.withColumn("text", F.concat("text", tail(F.col("id"), F.col("language"), F.col("user"))))
+    return marked(raw_posts(spark, sf_dir))
 
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked posts with mentions and links masked."""
-    return posts(spark, sf_dir).withColumn("text", X.mask_urls(X.mask_mentions("text")))
+    return mask(posts(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str, posts_df: DataFrame | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from quillspark.catalog.base import (
 )
 from quillspark.catalog.cleaning import CLASSIFY_CTE, TOPIC_CTE, topic_posts
 from quillspark.functions import text as X
-from quillspark.operators import dedup, splits, stats, terms
+from quillspark.operators import dedup, sketches, splits, stats, terms
 from quillspark.plans import preprocess
+from quillspark.session import materialize
 
 # -------------------------------------------------------------------- dedup, set ops
 
@@ -385,3 +386,17 @@ def emote_share(spark, sf):
 )
 def wordcloud_weights(spark, sf):
     return terms.wordcloud_weights(topic_posts(spark, sf), "tokens_norm")
+
+
+@query(
+    "users_by_sketch",
+    "SELECT event_type AS language, count(*) AS n_posts, count(DISTINCT user_id) AS n_users, true AS within FROM events GROUP BY 1",
+)
+def users_by_sketch(spark, sf):
+    """Users per language from daily sketches beside the exact number, and whether six standard errors hold."""
+    rows = dated(spark, sf).withColumn("day", F.to_date("date"))
+    daily = materialize(sketches.distinct_sketches(rows, ["day", "language"], "user"), "daily-users")
+    found = sketches.estimated(sketches.unite_sketches(daily, ["language"]), "about")
+    exact = stats.users_per_language(rows)
+    near = F.abs(F.col("about") - F.col("n_users")) <= 6 * sketches.relative_error() * F.col("n_users")
+    return found.join(exact, "language").select("language", F.col("n").alias("n_posts"), "n_users", near.alias("within"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.catalog.base import MASKED_CTE, POSTS_CTE, masked, mask_sql, posts, query, raw_posts, table
+from quillspark.catalog.base import MASKED_CTE, POSTS_CTE, mask, marked, masked, mask_sql, posts, query, raw_posts, table
 from quillspark.catalog.cleaning import TOPIC_CTE, topic_posts
 from quillspark.catalog.models import GUESS_CTE, guesses
-from quillspark.catalog.styles import CHAR_SQL, _sql_value, rounded
+from quillspark.catalog.styles import CHAR_SQL, FEATURE_SQL, _sql_value, feature_ctes, rounded, vocabulary
 from quillspark.operators import features, terms
-from quillspark.session import new_path
+from quillspark.session import materialize, new_path
 from quillspark.sources import readers, writers
 from quillspark.streaming import streams
 
@@ -155,3 +155,16 @@ def stream_features(spark, sf):
     rows = stream(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     names = features.feature_names(levels=("character_level",))
     return rounded(streams.run_to_end(features.extract_features(rows, names=names), "features"), names)
+
+
+@query(
+    "stream_all_features",
+    f"WITH {MASKED_CTE}, {feature_ctes('masked')} SELECT id, {', '.join(f'{_sql_value(n)} AS {n}' for n in FEATURE_SQL)} FROM f",
+)
+def stream_all_features(spark, sf):
+    """All levels from a stream; every batch meets the vocabulary of the benchmark."""
+    columns = [F.col("doc_id").alias("id"), F.col("source").alias("user"), F.col("lang").alias("language"), "text"]
+    rows = mask(marked(stream(spark, sf, "documents").select(*columns))).select("id", "text")
+    store = new_path(spark, "stream-features")
+    streams.stream_features(rows, store, materialize(vocabulary(spark, sf), "vocabulary")).awaitTermination()
+    return rounded(spark.read.parquet(store), list(FEATURE_SQL))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -211,6 +212,32 @@ def grid_search(spark, sf):
     return classify.grid_scores(model, spark)
 
 
+@query("grid_search_folds")
+def grid_search_folds(spark, sf):
+    """Every grid point on both sides of every fold."""
+    train, _ = parts(training(spark, sf))
+    return classify.grid_folds(train, CHAR_NAMES, c_values=(0.1, 1.0), max_iters=(10, 20))
+
+
+_FOLD_SQL = f"floor(('0x' || md5(id::VARCHAR || ':{C.SPLIT_SEED}:fold')[1:8])::BIGINT::DOUBLE / 4294967296::DOUBLE * 3)::INTEGER"
+
+
+@query("fold_number", f"WITH {_SPLIT_WORDS} SELECT id, label, {_FOLD_SQL} AS fold FROM s WHERE split = 'train'")
+def fold_number(spark, sf):
+    train = split_posts(spark, sf).where("split = 'train'")
+    return train.select("id", "label", classify.fold_number("id", 3).alias("fold"))
+
+
+@query("feature_selection_by_model")
+def feature_selection_by_model(spark, sf):
+    """Features whose coefficient is at least of mean size, fitted on scaled training rows."""
+    train, _ = parts(training(spark, sf))
+    prepared = Pipeline(stages=classify.feature_stages(CHAR_NAMES)).fit(train).transform(train)
+    slicer = classify.model_selection(materialize(prepared.select("x", "y"), "scaled"), "x", max_iter=ITERATIONS)
+    names = sorted(CHAR_NAMES)
+    return spark.createDataFrame([(names[i],) for i in slicer.getIndices()], "feature string")
+
+
 @query("train_style_svm")
 def train_style_svm(spark, sf):
     _, scored = style_plan.train_and_score(training(spark, sf), CHAR_NAMES, ["char_ngrams"], max_iter=ITERATIONS)

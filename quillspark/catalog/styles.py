@@ -248,6 +248,25 @@ def readability_extra(spark, sf):
     return out.select("id", *[r9(n).alias(n) for n in names])
 
 
+_RICHNESS_SQL = {
+    "brunet_w": f"CASE WHEN n > 0 THEN pow(n, pow(v, -{C.BRUNET_EXPONENT}::DOUBLE)) END",
+    "yule_k": "10000::DOUBLE * (s2 - n) / nullif(n * n, 0)",
+    "honore_r": "100::DOUBLE * ln(nullif(n, 0)) / nullif(1::DOUBLE - v1 / nullif(v, 0), 0)",
+    "sichel_s": "v2 / nullif(v, 0)",
+    "simpson_d": "(s2 - n) / nullif(n * (n - 1), 0)",
+}
+
+
+@query(
+    "richness",
+    f"WITH {MASKED_CTE}, {feature_ctes('masked')}, spectrum AS (SELECT id, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS v, count(*) FILTER (n = 1)::DOUBLE AS v1, "
+    "count(*) FILTER (n = 2)::DOUBLE AS v2, sum(n * n)::DOUBLE AS s2 FROM types GROUP BY id) "
+    f"SELECT masked.id, {', '.join(f'round({e}, 6) AS {n}' for n, e in _RICHNESS_SQL.items())} FROM masked LEFT JOIN spectrum ON spectrum.id = masked.id",
+)
+def richness(spark, sf):
+    return features.richness(masked(spark, sf)).select("id", *[F.round(n, 6).alias(n) for n in _RICHNESS_SQL])
+
+
 @query(
     "pattern_freq",
     f"WITH {RAW_CTE} SELECT id, round({_div(hits('text', '[aeiou]{2}'), 'length(text)')}, 9) AS freq, {hits('text', '[aeiou]{2}')}::BIGINT AS hits FROM raw_posts",

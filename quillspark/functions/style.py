@@ -172,6 +172,37 @@ def word_features(
     return built(recipes, names)
 
 
+def run_starts(ordered: Column) -> Column:
+    """Places (from 0) at which a new value begins in a sorted array."""
+    marked = F.transform(ordered, lambda x, i: F.when(F.coalesce(F.get(ordered, i - 1) != x, F.lit(True)), i))
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
+def run_lengths(starts: Column, n: Column) -> Column:
+    """Lengths of the runs that begin at ``starts`` in an array of ``n`` entries."""
+    return F.transform(starts, lambda s, k: (F.coalesce(F.get(starts, k + 1), n) - s).cast("bigint"))
+
+
+def richness_features(spectrum: Column | str, brunet: float = C.BRUNET_EXPONENT) -> dict[str, Column]:
+    """Vocabulary richness from the numbers of times that each distinct word of a post occurs.
+
+    NULL without a word; Simpson's index also with one word, Honore's also where every word occurs once.
+    """
+    times = as_col(spectrum)
+    total_of = lambda f: F.aggregate(times, F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
+    n_types = F.size(times).cast("double")
+    n = total_of(lambda x: x).cast("double")
+    once, twice = F.size(F.filter(times, lambda x: x == 1)), F.size(F.filter(times, lambda x: x == 2))
+    some = lambda value: F.when(n > 0, value)
+    return {
+        "brunet_w": some(F.pow(n, F.pow(n_types, F.lit(-brunet)))),
+        "yule_k": 10_000 * F.try_divide(total_of(lambda x: x * x) - n, n * n),
+        "honore_r": some(F.try_divide(100 * F.ln(n), 1 - ratio(once, n_types))),
+        "sichel_s": ratio(twice, n_types),
+        "simpson_d": F.try_divide(total_of(lambda x: x * (x - 1)).cast("double"), n * (n - 1)),
+    }
+
+
 def readability_extra(easy_words=C.STOP_WORDS) -> dict[str, Column]:
     """Further readability scores from the same counts, over the working columns.
 

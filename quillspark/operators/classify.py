@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.feature import UnivariateFeatureSelector
+from pyspark.ml.feature import CountVectorizer, Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -16,6 +15,8 @@ from quillspark.functions import constants as C
 from quillspark.operators.ngrams import fit_vocabulary
 from quillspark.operators.evaluate import classification_report
 from quillspark.operators.filters import misclassified
+from quillspark.operators.splits import position_share
+from quillspark.session import materialize
 
 
 def with_class_index(df: DataFrame, target: str, label_col: str = "label", out: str = "y") -> DataFrame:
@@ -112,15 +113,28 @@ def predict(model: Transformer, df: DataFrame, keep: list[str]) -> DataFrame:
     return scored.select(*keep, "prediction", vector_to_array("rawPrediction")[1].alias("score"))
 
 
-def calibrate(scored_train: DataFrame, label_col: str = "y", score_col: str = "score") -> PipelineModel:
-    """Sigmoid fitted to the decision scores of the training rows."""
+def calibrate(scored_train: DataFrame, label_col: str = "y", score_col: str = "score", smooth: bool = True) -> PipelineModel:
+    """Sigmoid fitted to the decision scores of the training rows.
+
+    With ``smooth`` (Platt) the n1 rows of the target class stand for a probability of (n1 + 1) / (n1 + 2) and the n0
+    others for 1 / (n0 + 2): every row counts as one row of each class with these weights.  Otherwise for 1 and 0.
+    """
+    rows = scored_train.select(F.col(label_col).cast("double").alias("_y"), F.col(score_col).cast("double").alias(score_col))
+    if smooth:
+        n = rows.agg(F.struct(F.sum("_y").alias("one"), F.sum(1 - F.col("_y")).alias("zero"))).scalar()
+        target = F.when(F.col("_y") == 1, (n["one"] + 1) / (n["one"] + 2)).otherwise(1 / (n["zero"] + 2))
+        shared = rows.select(score_col, target.alias("_t"))
+        both = F.array(F.struct(F.lit(1.0).alias("y"), F.col("_t").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("_t")).alias("w")))
+        rows = shared.select(score_col, F.explode(both).alias("_e")).select(score_col, F.col("_e.y").alias("_y"), F.col("_e.w").alias("_w"))
+    else:
+        rows = rows.withColumn("_w", F.lit(1.0))
     return Pipeline(stages=[
         VectorAssembler(inputCols=[score_col], outputCol="_score"),
         LogisticRegression(
-            regParam=0.0, featuresCol="_score", labelCol=label_col, predictionCol="calibrated_label",
-            rawPredictionCol="_calibrated_raw", probabilityCol="probability",
+            regParam=0.0, tol=1e-12, maxIter=200, featuresCol="_score", labelCol="_y", weightCol="_w",
+            predictionCol="calibrated_label", rawPredictionCol="_calibrated_raw", probabilityCol="probability",
         ),
-    ]).fit(scored_train)
+    ]).fit(rows)
 
 
 def with_probability(calibrated: Transformer, scored: DataFrame) -> DataFrame:
@@ -154,6 +168,44 @@ def grid_scores(model: CrossValidatorModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "reg_param double, max_iter int, score double")
 
 
+def fold_number(id_col: str, folds: int, seed: int = C.SPLIT_SEED):
+    """A row's fold, from its id alone: 0 .. folds - 1."""
+    return F.floor(position_share(id_col, f"{seed}:fold") * folds).cast("int")
+
+
+def grid_folds(
+    train: DataFrame, names: list[str], c_values=(0.01, 0.1, 1.0), max_iters=(100,), folds: int = 3, seed: int = C.SPLIT_SEED, id_col: str = "id"
+) -> DataFrame:
+    """(c, max_iter, fold, train, validation): F1 weighted by class size of every grid point on both sides of every fold.
+
+    A fold's models score all rows in one pass, and one aggregation counts hits of all grid points and both sides.  The
+    imputer and the scaler are fitted without the fold that is held out.  Every side needs rows of both classes.
+    """
+    rows = materialize(train.select(*names, "y", fold_number(id_col, folds, seed).alias("fold")), "folds")
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    counted = None
+    for fold in range(folds):
+        part = rows.where(F.col("fold") != fold)
+        prepared = Pipeline(stages=feature_stages(names)).fit(part)
+        known = materialize(prepared.transform(part).select("x", "y"), "fold-train")
+        scored, points = prepared.transform(rows).select("x", "y", "fold"), []
+        n = sum(sizes.values()) - sizes.get(fold, 0)
+        for k, (c, max_iter) in enumerate((c, m) for c in c_values for m in max_iters):
+            model = linear_svm(n, c, max_iter).fit(known)
+            scored = model.setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").transform(scored)
+            points.append(F.struct(F.lit(float(c)).alias("c"), F.lit(max_iter).alias("max_iter"), F.col(f"_p{k}").alias("p")))
+        hits = scored.select("y", (F.col("fold") == fold).alias("held_out"), F.lit(fold).alias("fold"), F.explode(F.array(*points)).alias("e"))
+        counted = hits if counted is None else counted.unionByName(hits)
+    count = lambda y, p: F.count_if((F.col("y") == y) & (F.col("e.p") == p)).alias(f"n{y}{p}")
+    tables = counted.groupBy("e.c", "e.max_iter", "fold", "held_out").agg(*[count(y, p) for y in (0, 1) for p in (0, 1)])
+    wrong = F.col("n01") + F.col("n10")
+    f1 = [F.coalesce(F.try_divide(2 * F.col(hit), 2 * F.col(hit) + wrong), F.lit(0.0)) for hit in ("n00", "n11")]
+    size = [F.col("n00") + F.col("n01"), F.col("n10") + F.col("n11")]
+    score = F.try_divide(f1[0] * size[0] + f1[1] * size[1], size[0] + size[1])
+    sides = tables.select("c", "max_iter", "fold", "held_out", score.alias("score")).groupBy("c", "max_iter", "fold")
+    return sides.agg(F.max(F.when(~F.col("held_out"), F.col("score"))).alias("train"), F.max(F.when(F.col("held_out"), F.col("score"))).alias("validation"))
+
+
 def score_unrelated(model: Transformer, df: DataFrame, positive: DataFrame | None = None, label_col: str = "label") -> DataFrame:
     """Score a corpus the model has never seen, with the vocabulary it was fitted with.
 
@@ -180,6 +232,20 @@ def feature_selection(train: DataFrame, features_col: str, label_col: str = "y",
     return selector.fit(train)
 
 
+def model_selection(train: DataFrame, features_col: str, label_col: str = "y", threshold: float | None = None, out: str = "selected", **svm) -> VectorSlicer:
+    """Keep the features whose coefficient in a linear SVM is at least ``threshold`` in size (default: the mean size).
+
+    The slicer holds the places, so training and test rows get the same layout.
+    """
+    model = linear_svm(train.count(), features_col=features_col, label_col=label_col, **svm).fit(train)
+    sizes = [abs(float(w)) for w in model.coefficients.toArray()]
+    limit = sum(sizes) / len(sizes) if threshold is None else threshold
+    kept = [i for i, w in enumerate(sizes) if w >= limit]
+    if not kept:
+        raise ValueError(f"no coefficient reaches {limit}")
+    return VectorSlicer(inputCol=features_col, outputCol=out, indices=kept)
+
+
 def errors(predictions: DataFrame, label_col: str = "y") -> DataFrame:
     return misclassified(predictions, label_col, "prediction")
 

@@ -145,6 +145,21 @@ def extract_features(
     return table.join(counts, id_col, "left").withColumn("nonstandard_spelling", share).select(table.columns)
 
 
+def richness(df: DataFrame, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Vocabulary richness of every post: Brunet's W, Yule's K, Honore's R, Sichel's S, Simpson's D.
+
+    Words are the lower-cased tokens of letters.  Each post is sorted once and its word frequencies are the
+    lengths of the runs, so nothing is shuffled.
+    """
+    from quillspark.functions.text import lowercase_mentions
+
+    words = F.sort_array(F.transform(T.letter_words("_text"), F.lower))
+    stage = df.select(id_col, *keep, lowercase_mentions(text_col).alias("_text")).withColumn("_low", words)
+    stage = stage.withColumn("_starts", style.run_starts(F.col("_low")))
+    stage = stage.withColumn("_times", style.run_lengths(F.col("_starts"), F.size("_low")))
+    return stage.select(id_col, *keep, *[c.alias(n) for n, c in style.richness_features("_times").items()])
+
+
 def feature_names(with_vocabulary: bool = False, levels=LEVELS) -> list[str]:
     """Names of the numeric features, level by level."""
     names = [n for level in levels for n in C.FEATURES_BY_LEVEL[level] if n != "pos_ngrams"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from quillspark.operators.dedup import first_row_per_key
+from quillspark.operators.features import extract_features
 from quillspark.session import new_path
 
 
@@ -34,6 +35,10 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _run_name(progress: str) -> str:
+    return hashlib.sha256(progress.encode()).hexdigest()[:16]
+
+
 def stream_append_unseen(stream: DataFrame, store: str, id_col: str = "id", progress: str | None = None):
     """All-time form: each batch adds the rows whose id the stored table does not hold.
 
@@ -45,7 +50,7 @@ def stream_append_unseen(stream: DataFrame, store: str, id_col: str = "id", prog
     spark = stream.sparkSession
     schema = stream.schema
     progress = progress or new_path(spark, "append-unseen-progress")
-    run = hashlib.sha256(progress.encode()).hexdigest()[:16]
+    run = _run_name(progress)
     full = ST.StructType(
         schema.fields + [ST.StructField("run", ST.StringType()), ST.StructField("batch", ST.LongType())]
     )
@@ -66,6 +71,26 @@ def stream_append_unseen(stream: DataFrame, store: str, id_col: str = "id", prog
     )
 
 
+def stream_features(stream: DataFrame, store: str, vocabulary: DataFrame | None = None, progress: str | None = None, **options):
+    """Style features of all levels, batch by batch: each batch meets the static ``vocabulary`` by a join.
+
+    A batch writes its own folder ``run=<name>/batch=<n>``, again in full if it is repeated after a failure.  Give a written
+    vocabulary: every batch reads it.  Ids must be unique inside a batch, and the source must give a batch's rows again
+    (files do).  ``options`` are those of ``extract_features``.
+    """
+    progress = progress or new_path(stream.sparkSession, "features-progress")
+    run = _run_name(progress)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        table = extract_features(batch, vocabulary=vocabulary, **options)
+        table.write.mode("overwrite").parquet(f"{store}/run={run}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(add)
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
+
+
 def stream_posts_per_day(stream: DataFrame, time_col: str = "date", delay: str = "1 day") -> DataFrame:
     """(day, n), final once the watermark has passed the day; later rows are dropped."""
     return (

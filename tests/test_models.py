@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from quillspark.operators import classify, explain, ngrams, vectors
@@ -61,3 +63,65 @@ def test_layout_is_sorted(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "b double, a double")
     out = ngrams.vectorize_features(df, ["b", "a"]).transform(df).first()["feature_vector"]
     assert list(out) == [2.0, 1.0]
+
+
+def test_calibration_equals_a_dense_fit(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(200) < 0.2).astype(float)
+    score = rng.normal(size=200) + 1.5 * y
+    scored = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, score, strict=True)], "y double, score double")
+    one, zero = y.sum(), (1 - y).sum()
+    for smooth, target in ((True, np.where(y == 1, (one + 1) / (one + 2), 1 / (zero + 2))), (False, y)):
+        w, x = np.zeros(2), np.stack([score, np.ones(200)])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-w @ x))
+            w += np.linalg.solve((x * (p * (1 - p))) @ x.T, x @ (target - p))
+        fitted = classify.calibrate(scored, smooth=smooth).stages[-1]
+        assert abs(fitted.coefficients[0] - w[0]) < 1e-6 and abs(fitted.intercept - w[1]) < 1e-6
+
+
+def test_perfectly_separated_scores_keep_finite_probabilities(spark):
+    scored = spark.createDataFrame([(float(i > 4), float(i)) for i in range(10)], "y double, score double")
+    out = classify.with_probability(classify.calibrate(scored), scored).agg(F.min("probability"), F.max("probability")).first()
+    assert 0 < out[0] < 0.2 and 0.8 < out[1] < 1
+
+
+def test_folds_score_both_sides(spark):
+    rows = [(i, float(i % 2), float(i % 2) + (i * 7 % 13) / 14) for i in range(300)]
+    train = spark.createDataFrame(rows, "id long, y double, f double")
+    got = classify.grid_folds(train, ["f"], c_values=(0.1, 1.0), max_iters=(1, 4), folds=2).collect()
+    assert len(got) == 8 and {(r.c, r.max_iter, r.fold) for r in got} == {(c, m, f) for c in (0.1, 1.0) for m in (1, 4) for f in range(2)}
+    numbered = train.withColumn("fold", classify.fold_number("id", 2)).cache()
+    for fold in range(2):
+        part, held = numbered.where(F.col("fold") != fold), numbered.where(F.col("fold") == fold)
+        model = classify.Pipeline(stages=classify.feature_stages(["f"]) + [classify.linear_svm(part.count(), 1.0, 4)]).fit(part)
+        row = next(r for r in got if (r.c, r.max_iter, r.fold) == (1.0, 4, fold))
+        for side, value in ((part, row.train), (held, row.validation)):
+            assert abs(classify.MulticlassClassificationEvaluator(labelCol="y", metricName="f1").evaluate(model.transform(side)) - value) < 1e-9
+
+
+def test_selection_by_model_follows_the_coefficients(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 1] - 2 * x[:, 3] > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, y double")
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="x").transform(df).cache()
+    slicer = classify.model_selection(rows, "x", max_iter=10)
+    assert slicer.getIndices() == [1, 3] and len(slicer.transform(rows).first()["selected"]) == 2
+    weights = [abs(w) for w in classify.linear_svm(300, max_iter=10).setFeaturesCol("x").fit(rows).coefficients]
+    everything = classify.model_selection(rows, "x", threshold=min(weights), max_iter=10)
+    assert everything.getIndices() == [0, 1, 2, 3]
+
+
+def test_f_values_choose_what_anova_chooses(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5))
+    y = (rng.random(200) < 0.5).astype(float)
+    x[:, 2] += y * 0.6
+    x[:, 4] += y * 0.9
+    groups = [x[y == k] for k in (0, 1)]
+    between = sum(len(g) * (g.mean(0) - x.mean(0)) ** 2 for g in groups)
+    within = sum(((g - g.mean(0)) ** 2).sum(0) for g in groups) / (len(x) - 2)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, e double, y double")
+    rows = VectorAssembler(inputCols=list("abcde"), outputCol="x").transform(df)
+    assert sorted(classify.feature_selection(rows, "x", k=3).selectedFeatures) == sorted(np.argsort(-between / within)[:3].tolist())

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillspark.operators import features
 from quillspark.session import new_path
 from quillspark.streaming import streams
 
@@ -32,5 +33,21 @@ def test_daily_counts_equal_the_batch(spark, tmp_path):
     assert got and all(want[d] == n for d, n in got.items()) and len(want) - len(got) <= 2
 
 
+def test_features_of_all_levels_are_written_batch_by_batch(spark, tmp_path):
+    source, store, progress = (str(tmp_path / n) for n in ("posts", "features", "progress"))
+    vocabulary = spark.createDataFrame([("good",), ("day",)], "word string")
+    texts = [(1, "Good day, gud people!"), (2, ""), (3, "A day? @User was here..."), (4, "good good")]
+    for k in (0, 2):
+        spark.createDataFrame(texts[k : k + 2], "id long, text string").write.mode("append").parquet(source)
+        rows = streams.read_parquet_stream(spark, source, spark.read.parquet(source).schema)
+        streams.stream_features(rows, store, vocabulary, progress).awaitTermination()
+    names = features.feature_names(with_vocabulary=True)
+    got = spark.read.parquet(store)
+    assert got.select("batch").distinct().count() == 2
+    want = features.extract_features(spark.read.parquet(source), vocabulary=vocabulary)
+    rows_of = lambda df: sorted(map(str, df.select("id", *names).collect()))
+    assert rows_of(got) == rows_of(want)
+
+
 def test_paths_are_new(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
