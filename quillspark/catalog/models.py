@@ -216,7 +216,7 @@ def grid_search(spark, sf):
 def grid_search_folds(spark, sf):
     """Every grid point on both sides of every fold."""
     train, _ = parts(training(spark, sf))
-    return classify.grid_folds(train, CHAR_NAMES, c_values=(0.1, 1.0), max_iters=(10, 20))
+    return classify.grid_folds(train, CHAR_NAMES, c_values=(0.1, 1.0), max_iters=(5, 10))
 
 
 _FOLD_SQL = f"floor(('0x' || md5(id::VARCHAR || ':{C.SPLIT_SEED}:fold')[1:8])::BIGINT::DOUBLE / 4294967296::DOUBLE * 3)::INTEGER"

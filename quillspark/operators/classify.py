@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -174,7 +176,8 @@ def fold_number(id_col: str, folds: int, seed: int = C.SPLIT_SEED):
 
 
 def grid_folds(
-    train: DataFrame, names: list[str], c_values=(0.01, 0.1, 1.0), max_iters=(100,), folds: int = 3, seed: int = C.SPLIT_SEED, id_col: str = "id"
+    train: DataFrame, names: list[str], c_values=(0.01, 0.1, 1.0), max_iters=(100,), folds: int = 3, seed: int = C.SPLIT_SEED, id_col: str = "id",
+    parallelism: int = 4,
 ) -> DataFrame:
     """(c, max_iter, fold, train, validation): F1 weighted by class size of every grid point on both sides of every fold.
 
@@ -190,8 +193,10 @@ def grid_folds(
         known = materialize(prepared.transform(part).select("x", "y"), "fold-train")
         scored, points = prepared.transform(rows).select("x", "y", "fold"), []
         n = sum(sizes.values()) - sizes.get(fold, 0)
-        for k, (c, max_iter) in enumerate((c, m) for c in c_values for m in max_iters):
-            model = linear_svm(n, c, max_iter).fit(known)
+        grid = [(c, m) for c in c_values for m in max_iters]
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(lambda p, n=n, known=known: linear_svm(n, *p).fit(known), grid))
+        for k, ((c, max_iter), model) in enumerate(zip(grid, models, strict=True)):
             scored = model.setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").transform(scored)
             points.append(F.struct(F.lit(float(c)).alias("c"), F.lit(max_iter).alias("max_iter"), F.col(f"_p{k}").alias("p")))
         hits = scored.select("y", (F.col("fold") == fold).alias("held_out"), F.lit(fold).alias("fold"), F.explode(F.array(*points)).alias("e"))
