@@ -287,3 +287,26 @@ def log_perplexity(spark, sf):
 def similar_words(spark, sf):
     words = table(spark, sf, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
     return vectors.similar_words(words, 0).withColumn("similarity", F.round("similarity", 6))
+
+
+def _words_and_asked(spark, sf):
+    """The vectors, and those that are asked for: all whose id is divisible by 100."""
+    words = table(spark, sf, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
+    return words, words.where(F.col("word") % 100 == 0)
+
+
+@query(
+    "nearest_words",
+    "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c "
+    "FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) AS rank FROM s) "
+    "SELECT query, rank, neighbour, round(c, 6) AS similarity FROM r WHERE rank <= 5",
+)
+def nearest_words(spark, sf):
+    found = vectors.nearest(*_words_and_asked(spark, sf))
+    return found.withColumn("rank", F.col("rank").cast("long")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similar_words_many")
+def similar_words_many(spark, sf):
+    return vectors.neighbours(*_words_and_asked(spark, sf)).withColumn("similarity", F.round("similarity", 6))
