@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import words as W
 from quillspark.session import materialize, new_path
 
 REVISIT_BYTES = 1000
@@ -39,6 +40,9 @@ FILE_BYTES = 64 << 20
 BLOCK_LINES = 1000
 #: Bytes that one range read may join.
 READ_BYTES = 8 << 20
+#: Bytes of pages, and rows of captures, that a task holds as Python objects before it passes them on.
+HELD_BYTES = 4 << 20
+HELD_ROWS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _PLACES = ["file", "offset", "length"]
 
@@ -148,7 +152,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(folder, "warc.gz", FILE_BYTES)
-        for batch in batches:
+        for batch in W.slices(batches, "html", HELD_BYTES):
             places = []
             for page_id, url, html, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -238,38 +242,59 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
                     file.append(names[at])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (low, high, file)], names=["low", "high", "index_file"])
 
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+
+    def captures_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["key", *_PLACES])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, at = Ranges(), None
+        ranges, at, found = Ranges(), None, []
         for batch in batches:
-            found = []
             for low, high, name in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "index_file")), strict=True):
                 if at is None or at.name != name:
                     at = IndexFile(ranges, name)
-                found += at.find(low, high)
-            if found:
-                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", *_PLACES])
+                for capture in at.find(low, high):
+                    found.append(capture)
+                    if len(found) == HELD_ROWS:
+                        yield captures_of(found)
+                        found = []
+        if found:
+            yield captures_of(found)
 
     routed = wanted.select("low", "high").distinct().mapInArrow(route, "low string, high string, index_file string")
-    return routed.repartitionByRange("index_file", "low").sortWithinPartitions("index_file", "low").mapInArrow(find, "key string, file string, offset long, length long")
+    routed = materialize(routed, "warc-routed")  # a range partition reads its input twice, once to sample it
+    ordered = routed.repartitionByRange("index_file", "low").sortWithinPartitions("index_file", "low")
+    return materialize(ordered.mapInArrow(find, "key string, file string, offset long, length long"), "warc-found")
 
 
 def read_records(captures: DataFrame) -> DataFrame:
-    """Read captures from the archives: page_id, url, record_type, refers_to, payload (null in a revisit), declared_digest."""
+    """Read captures (a written table) from the archives: page_id, url, record_type, refers_to, payload (null in a revisit),
+    declared_digest."""
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
+    names = ["page_id", "url", "record_type", "refers_to", "payload", "declared_digest"]
+
+    def records_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def spans(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[int]]]:
+        """Neighbouring records of a file, joined up to ``READ_BYTES`` compressed: file, first offset, lengths."""
+        file, start, end, lengths = None, 0, 0, []
+        for name, offset, length in zip(*(batch.column(c).to_pylist() for c in _PLACES), strict=True):
+            if name != file or offset != end or end + length - start > READ_BYTES:
+                if lengths:
+                    yield file, start, lengths
+                file, start, lengths = name, offset, []
+            end = offset + length
+            lengths.append(length)
+        if lengths:
+            yield file, start, lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges()
         for batch in batches:
-            spans: list[list] = []
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in _PLACES), strict=True):
-                last = spans[-1] if spans else None
-                if last and last[0] == name and last[1] + last[2] == offset and last[2] + length <= READ_BYTES:
-                    last[2] += length
-                    last[3].append(length)
-                else:
-                    spans.append([name, offset, length, [length]])
-            for name, offset, total, lengths in spans:
-                data, at, rows = ranges.read(name, offset, total), 0, []
+            rows, held = [], 0
+            for file, start, lengths in spans(batch):
+                data, at = ranges.read(file, start, sum(lengths)), 0
                 for length in lengths:
                     fields, payload = parse_record(zlib.decompress(data[at : at + length], 31))
                     at += length
@@ -277,9 +302,12 @@ def read_records(captures: DataFrame) -> DataFrame:
                     number = lambda f, fields=fields: int(fields[f]) if f in fields else None
                     rows.append((number("x-page-id"), fields["warc-target-uri"], fields["warc-type"], number("x-refers-to-page-id"),
                                  None if revisit else payload, fields["warc-payload-digest"].removeprefix("sha1:")))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "record_type", "refers_to", "payload", "declared_digest"])
+                    held += len(payload)
+                    if held >= HELD_BYTES:
+                        yield records_of(rows)
+                        rows, held = [], 0
+            if rows:
+                yield records_of(rows)
 
     ordered = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, declared_digest string")

@@ -17,6 +17,7 @@ def pages(spark):
 
 def test_round_trip_through_the_index(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_LINES", 16)
+    monkeypatch.setattr(A, "HELD_BYTES", 3000)
     table = pages(spark)
     captures, index = A.archive(table)
     key = A.capture_key(F.col("url"), F.col("page_id"))
@@ -39,7 +40,8 @@ def test_round_trip_through_the_index(spark, monkeypatch):
     assert sums[1, 2000]["payload_digest"] == hashlib.sha1(BIG.encode()).hexdigest()
 
 
-def test_all_captures_of_a_url(spark):
+def test_all_captures_of_a_url(spark, monkeypatch):
+    monkeypatch.setattr(A, "HELD_ROWS", 7)
     table = pages(spark)
     _, index = A.archive(table)
     url = A.url_key(F.col("url"))
