@@ -5,7 +5,8 @@ there are of each length, a table of at most ``capacity`` numbers.  On that tabl
 opens a sequence, a subset-sum over bits finds the multiset of remaining lengths that comes closest to the room
 left, backtracking gives its counts, and the same filling is repeated as often as the counts allow.  The fillings
 are then dealt to the pieces by each piece's rank within its length.  Ranks come from counts per (length, hash bucket)
-and a numbering inside each bucket, so no task sees all pieces of a length.
+and a numbering inside each bucket.  A length has as many buckets as its count asks for, so no task sees all pieces of a
+length, however many full windows there are.
 
 Nulls and odd rows: a null text is the empty one and gives one piece, the closing id.  Documents of any length are
 encoded whole.  Repeated rows are packed each on its own.  An empty table gives no piece.  Other columns are not read.
@@ -29,8 +30,8 @@ from quillspark.session import materialize
 
 CAPACITY = 1024
 END_ID = 0
-#: Hash buckets per length that ranks are counted in.
-BUCKETS = 256
+#: Pieces that a hash bucket of a length holds on average; ranks are counted in buckets.
+BUCKET_ROWS = 100_000
 #: Entries that an encoder remembers before it starts anew.
 REMEMBERED = 600_000
 
@@ -209,12 +210,14 @@ def assignments(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (a written table) with their sequence_id and offset."""
-    spark = cut.sparkSession
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)))
+    spark, columns = cut.sparkSession, cut.columns
+    totals = materialize(cut.groupBy("length").agg(F.count("*").alias("n")), "pack-totals")  # at most ``capacity`` rows
+    counts = {r["length"]: r["n"] for r in totals.collect()}
+    buckets = totals.select("length", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    cut = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets"))).drop("buckets")
     per_bucket = materialize(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-counts")
-    counts = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
-    firsts = per_bucket.select("length", "bucket", earlier.alias("first"))  # at most capacity x BUCKETS rows
+    firsts = per_bucket.select("length", "bucket", earlier.alias("first"))  # a row per ``BUCKET_ROWS`` pieces and one per length
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = cut.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(firsts), ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("first")).drop("first", "bucket")
@@ -225,7 +228,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     hit = (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
     nth = F.col("rank") - F.col("from_rank")
     return ranked.join(F.broadcast(table), hit).select(
-        *(c for c in cut.columns if c != "bucket"),
+        *columns,
         (F.col("first_sequence") + F.floor(nth / F.col("uses"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + nth % F.col("uses") * F.col("length")).cast("long").alias("offset"),
     )

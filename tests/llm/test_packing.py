@@ -35,7 +35,9 @@ def test_closest_fill_is_the_best_subset():
         assert sum(n * u for n, u in uses.items()) == max(s for s in sums if s <= room)
 
 
-def test_every_id_once_without_gaps(spark, encoder):
+@pytest.mark.parametrize("bucket_rows", [P.BUCKET_ROWS, 3])
+def test_every_id_once_without_gaps(spark, encoder, monkeypatch, bucket_rows):
+    monkeypatch.setattr(P, "BUCKET_ROWS", bucket_rows)
     rng = random.Random(3)
     texts = [None, "", "a", " ".join(f"word{rng.randrange(500)}" for _ in range(6000))] + [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 400))) for _ in range(60)]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, "a", "x"), (None, "null id", "x")]
