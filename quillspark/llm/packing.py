@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,6 +124,12 @@ class Encoder:
             yield next(self._ids([text])) if parts is None else b"".join(map(known, parts))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_path: str) -> Encoder:
+    """The Python worker's encoder: its next task finds the words known that its last one met."""
+    return Encoder(tokenizer_path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            with_ids: bool = False) -> DataFrame:
     """Documents encoded and cut: doc_id, start, length, ids_crc32, doc_tokens (and ``ids`` as 32-bit bytes)."""
@@ -131,9 +138,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in W.slices(batches, "text", 2 << 20):
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder_of(tokenizer_path)
             row, starts, lengths, sums, totals, kept = [], [], [], [], [], []
             for number, ids in enumerate(encoder.encode(W.as_strings(batch.column("text")).to_pylist())):
                 ids += end
