@@ -19,6 +19,8 @@ BLOCK_NUMBERS = 4_000_000
 BUCKET_ROWS = 256
 #: Tables of random projections.
 TABLES = 8
+#: The number of bits is lowered until so large a share of the true neighbours of so many sampled queries is met.
+RECALL, SAMPLED = 0.95, 200
 #: Query rows are broadcast up to this size as text.
 PROBE_CHARS = 64_000_000
 
@@ -129,22 +131,25 @@ def _meet(sent, k: int):
     return run
 
 
+def _signs(vectors: np.ndarray, tables: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector and table the signs of its projections as a number, and the bit with the smallest projection."""
+    size = vectors.shape[1]
+    planes = np.random.default_rng((seed, size)).normal(size=(size, tables * bits))
+    z = (vectors @ planes).reshape(len(vectors), tables, bits)
+    return (z > 0) @ (1 << np.arange(bits)), 1 << np.argmin(np.abs(z), axis=2)
+
+
 def projection_codes(rows: DataFrame, tables: int, bits: int, seed: int = 0) -> DataFrame:
     """Adds ``codes``, a number of ``bits`` signs of random projections for each of the ``tables``, and ``weak``, in each of
     them the bit with the smallest projection.  The projections follow from the seed and the vector's length alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             codes, weak = np.zeros((batch.num_rows, tables), np.int64), np.zeros((batch.num_rows, tables), np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                if size not in planes:
-                    planes[size] = np.random.default_rng((seed, int(size))).normal(size=(int(size), tables * bits))
-                z = (_matrix(batch.column("vector").take(pa.array(at))) @ planes[size]).reshape(len(at), tables, bits)
-                codes[at] = (z > 0) @ (1 << np.arange(bits))
-                weak[at] = 1 << np.argmin(np.abs(z), axis=2)
+                codes[at], weak[at] = _signs(_matrix(batch.column("vector").take(pa.array(at))), tables, bits, seed)
             offsets = pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (codes, weak)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "codes", "weak"])
@@ -153,13 +158,34 @@ def projection_codes(rows: DataFrame, tables: int, bits: int, seed: int = 0) ->
     return rows.mapInArrow(run, f"{fields}, codes array<bigint>, weak array<bigint>")
 
 
+def _fitting_bits(rows: DataFrame, asked: DataFrame, k: int, tables: int, most: int, seed: int) -> int:
+    """The largest number of bits, ``most`` at most, whose buckets hold ``RECALL`` of the true neighbours of ``SAMPLED`` queries."""
+    sample = materialize(asked.orderBy(F.xxhash64("key", "vector")).limit(SAMPLED).drop("norm"), "near-sample")
+    pairs = nearest(rows.drop("norm", "copy"), sample, k, "key", "vector")
+    pairs = pairs.join(rows.select(F.col("key").alias("neighbour"), F.col("vector").alias("b")), "neighbour")
+    pairs = pairs.join(F.broadcast(sample.select(F.col("key").alias("query"), F.col("vector").alias("a"))), "query")
+    groups: dict[int, list] = {}
+    for r in pairs.where(F.size("a") == F.size("b")).select("a", "b").collect():  # at most ``SAMPLED`` x ``k`` pairs where keys are unique
+        groups.setdefault(len(r["a"]), []).append((r["a"], r["b"]))
+    sides = [np.array(group).transpose(1, 0, 2) for group in groups.values()]
+    for bits in range(most, 1, -1):
+        met = []
+        for a, b in sides:
+            (of_a, weak), (of_b, _) = _signs(a, tables, bits, seed), _signs(b, tables, bits, seed)
+            met.append(((of_a == of_b) | (of_a ^ weak == of_b)).any(axis=1))
+        if not met or np.concatenate(met).mean() >= RECALL:
+            return bits
+    return 1
+
+
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 5, key_col: str = "word", vector_col: str = "vector",
                tables: int = TABLES, bits: int | None = None, seed: int = 0) -> DataFrame:
     """Nearly the ``k`` nearest entries of ``df`` to every row of ``queries``, found through buckets of random projections and
     ranked by exact cosine: query, rank, neighbour, similarity.
 
     A vector lies in one bucket of each table, a query looks into its own and into the one behind its nearest plane.  The number of
-    bits follows the number of distinct vectors, so that a bucket holds ``BUCKET_ROWS`` on average.  A pair that meets in several
+    bits follows the number of distinct vectors, so that a bucket holds ``BUCKET_ROWS`` on average, unless a sample of ``SAMPLED`` queries,
+    answered exactly, shows that fewer bits are needed to meet ``RECALL`` of the neighbours (vectors close to noise have large buckets).  A pair that meets in several
     tables is scored in the first of them only, so no pair is shuffled to be made distinct.  While the queries are small (counted) they are broadcast
     and the table stays in place.  Of entries with equal vectors only the ``k + 1`` smallest keys are
     kept (no other can be among anyone's nearest), so a vector that makes up a third of the table does not fill its buckets.
@@ -169,7 +195,8 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 5, key_col: str = "wo
     rows, asked = _entries(df, key_col, vector_col), _entries(queries, key_col, vector_col)
     rows = materialize(_first_copies(rows, k), "near-rows")
     if bits is None:
-        bits = max(1, min(62, (rows.where("copy = 1").count() // BUCKET_ROWS).bit_length()))
+        most = max(1, min(62, (rows.where("copy = 1").count() // BUCKET_ROWS).bit_length()))
+        bits = _fitting_bits(rows, asked, k, tables, most, seed)
     base = projection_codes(rows.drop("copy"), tables, bits, seed)
     base = base.select("key", "vector", "norm", "codes", F.posexplode("codes").alias("t", "bucket"))
     probes = projection_codes(asked, tables, bits, seed).withColumn(

@@ -79,3 +79,14 @@ def test_recall_among_many_clusters(spark):
     exact = {(r["query"], r["neighbour"]) for r in vectors.nearest(df, asked).collect()}
     found = {(r["query"], r["neighbour"]) for r in vectors.neighbours(df, asked, bits=8).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_bits_follow_the_recall_of_a_sample(spark, monkeypatch):
+    """Vectors that are noise: buckets as small as the row count asks for would miss most neighbours."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(2000)], SCHEMA)
+    asked = df.where("word % 20 = 0")
+    monkeypatch.setattr(vectors, "BUCKET_ROWS", 8)
+    exact = {(r["query"], r["neighbour"]) for r in vectors.nearest(df, asked).collect()}
+    share = [len(exact & {(r["query"], r["neighbour"]) for r in vectors.neighbours(df, asked, bits=b).collect()}) / len(exact) for b in (8, None)]
+    assert share[0] < 0.9 <= share[1]
