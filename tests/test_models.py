@@ -125,3 +125,10 @@ def test_f_values_choose_what_anova_chooses(spark):
     df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, e double, y double")
     rows = VectorAssembler(inputCols=list("abcde"), outputCol="x").transform(df)
     assert sorted(classify.feature_selection(rows, "x", k=3).selectedFeatures) == sorted(np.argsort(-between / within)[:3].tolist())
+
+
+def test_folds_of_the_grid_hold_no_texts(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(classify.CrossValidator, "fit", lambda self, rows: held.append(rows.columns))
+    classify.grid_search(toy(spark).withColumn("text", F.lit("a text")), ["f"], folds=2)
+    assert held == [["f", "y"]]
