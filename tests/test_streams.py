@@ -51,3 +51,14 @@ def test_features_of_all_levels_are_written_batch_by_batch(spark, tmp_path):
 
 def test_paths_are_new(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_a_table_of_part_files_streams_like_one_file(spark, tmp_path):
+    from quillspark.catalog import files
+
+    rows = [(i, f"A post no {i}, with words and a #tag!", "en", "s1", 30) for i in range(20)]
+    posts = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "with words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    posts.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert files.stream_all_features(spark, str(tmp_path)).count() == 20
+    assert files.stream_features(spark, str(tmp_path)).count() == 20
