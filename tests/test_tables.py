@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import dedup, evaluate, features, joins, lexicon, phrases, splits, stats, topics
 from quillspark.sources import readers
+from quillspark.functions import patterns as P
 from quillspark.functions import tokens as T
 
 
@@ -142,3 +143,35 @@ def test_cv_coherence_prefers_words_that_meet(spark):
     tops = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 1, "c"), (1, 2, "d")], "topic int, rank int, term string")
     got = {r.topic: r.coherence for r in topics.npmi_coherence(df, tops, window=4).collect()}
     assert got[0] > got[1]
+
+
+def test_features_of_words_equal_those_of_token_lists(spark):
+    texts = [
+        "Hello HELLO hello, it WAS sooo good!!! The best 'quoted bit' of 3.5 @USER", None, "", "    ", "?! :) XD 😀😀 8-) http://a.b www.c",
+        "One two two. Three walked\nquickly four", "wordless 12 wordless", "# ## h ww. (: </3 :'( x8) (8) ß Éa",
+    ]
+    posts = spark.createDataFrame([(i // 2 if i else None, t) for i, t in enumerate(texts)], "id long, text string").repartition(2)
+    known = spark.createDataFrame([("two",), ("hello",)], "word string")
+    lowered = posts.withColumn("text", F.replace(F.col("text"), F.lit("@USER"), F.lit("@user")))
+    listed = lowered.withColumn("tokens", T.annotate("text"))
+    for vocabulary in (None, known):
+        a = features.extract_features(posts, vocabulary=vocabulary, readability=True, keep=("text",))
+        b = features.extract_features(listed, vocabulary=vocabulary, readability=True, keep=("text",), tokens_col="tokens")
+        assert a.columns == b.columns
+        shown = [sorted((repr(r) for r in x.withColumn("text", F.replace(F.col("text"), F.lit("@USER"), F.lit("@user"))).collect())) for x in (a, b)]
+        assert shown[0] == shown[1]
+
+
+def test_fast_tokens_and_sentences_equal_the_plain_patterns(spark):
+    marks = [c for c in ":;=()[]<>/-^'8XxDPpo|*3.,#@ \t\x85  hw"]
+    texts = ["".join(marks[(i * 7 + j * (i % 11 + 1)) % len(marks)] for j in range(40)) for i in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.transform(F.split(F.regexp_replace("text", P.SENTENCE_END, "$1\n"), P.LINE_BREAKS), lambda s: F.regexp_replace(s, f"^{P.SPACE}+|{P.SPACE}+$", ""))
+    differs = (T.social_tokenize("text") != T.extract_all("text", P.SOCIAL_TOKEN)) | (T.split_sentences("text") != F.filter(plain, lambda s: s != ""))
+    assert rows.where(differs).count() == 0
+
+
+def test_a_feature_asks_for_its_own_numbers_only(spark):
+    posts = spark.createDataFrame([(1, "some words")], "id long, text string")
+    plan = features.extract_features(posts, names=["total_word_len"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapinarrow" in plan.lower() and "_n_syllables" not in plan
