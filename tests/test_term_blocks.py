@@ -85,3 +85,28 @@ def test_squared_hinge_equals_a_dense_solution(spark, monkeypatch):
     assert np.abs(w - np.array([weights[t] for t in terms] + [model.intercept])).max() < 1e-4 and 5 < model.steps < 200
     scores = sorted((r["id"] or -1, round(r["score"], 3)) for r in model.predict(blocks).collect())
     assert np.allclose(scores, sorted((i or -1, round(s, 3)) for (i, _, _), s in zip(rows, x @ w, strict=True)), atol=2e-3)
+
+
+def test_squared_hinge_scans_packed_blocks(spark, monkeypatch):
+    """In memory every scan of a step reads numbers as bytes; they and the written arrays give the same sums."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 200)
+    blocks = B.term_blocks(frame(spark, corpus(60, 5)), "tokens", ["id", "label"])
+    matrix = term_models._matrix(blocks, B.index_terms(B.term_totals(blocks)), "label", "a")
+    places = np.unique(np.concatenate([r["places"] for r in matrix.select("places").collect()]))
+    packed = term_models._packed(matrix, places)
+    assert {kind for _, kind in packed.dtypes} == {"binary"}
+    w, d = (np.random.default_rng(k).normal(size=len(places)) for k in (1, 2))
+    value = dict(zip(places.tolist(), zip(w, d, strict=True), strict=True))
+    losses, slopes = np.zeros(2), Counter()
+    for r in matrix.collect():
+        for y, start, end in zip(r["y"], [0, *r["ends"]], r["ends"], strict=False):
+            entries = [(r["places"][k], n) for k, n in zip(r["keys"][start:end], r["values"][start:end], strict=True)]
+            z, dz = (sum(n * value[p][side] for p, n in entries) for side in (0, 1))
+            losses += [max(0, 1 - y * (z + t * dz)) ** 2 for t in (0.5, 2.0)]
+            for p, n in entries:
+                slopes[p] -= 2 * 0.3 * y * max(0, 1 - y * (z + 0.5 * dz)) * n
+    vectors = spark.sparkContext.broadcast((w, d))
+    assert np.allclose(term_models._packed_losses(packed, vectors, np.array([0.5, 2.0])), losses)
+    found = term_models._packed_gradient(packed, vectors, 0.5, 0.3).to_pydict()
+    assert np.allclose([slopes[places[p]] for p in found["place"]], found["gx"])
+    assert {places[p] for p in found["place"]} == {p for p, g in slopes.items() if g}
