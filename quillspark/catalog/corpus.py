@@ -373,7 +373,7 @@ def _share_sql(kind: str) -> str:
 
 @query("emote_share", f"WITH {CLASSIFY_CTE} {_share_sql('emojis')} UNION ALL {_share_sql('emoticons')}")
 def emote_share(spark, sf):
-    classified = classify_posts(spark, sf)
+    classified = materialize(classify_posts(spark, sf).select("emotes"), "emotes")
     emojis = terms.emote_share(terms.emoji_counts(classified)).withColumn("kind", F.lit("emoji"))
     emoticons = terms.emote_share(terms.emoticon_counts(classified)).withColumn("kind", F.lit("emoticon"))
     return emojis.unionByName(emoticons)
