@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.rows import explode_rows
 from quillspark.functions.text import as_col
+from quillspark.session import materialize
 
 
 def top_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -20,10 +21,10 @@ def top_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def _totals(df: DataFrame, n_tokens: Column, n_kept: Column, n_chars: Column, tokens: Column) -> DataFrame:
-    per_post = df.select(
-        n_tokens.cast("bigint").alias("t"), n_kept.cast("bigint").alias("k"), n_chars.cast("bigint").alias("c")
-    )
-    distinct = explode_rows(df, [], tokens, "token").agg(F.countDistinct("token").alias("d")).scalar()
+    """The totals of posts whose numbers and tokens are worked out and written once: the totals and the distinct tokens read them."""
+    numbers = {"t": n_tokens.cast("bigint"), "k": n_kept.cast("bigint"), "c": n_chars.cast("bigint"), "tokens": tokens}
+    per_post = materialize(df.select(*[c.alias(name) for name, c in numbers.items()]), "post-totals")
+    distinct = explode_rows(per_post, [], "tokens", "token").agg(F.countDistinct("token").alias("d")).scalar()
     return per_post.agg(
         F.count(F.lit(1)).alias("n_posts"),
         F.sum("t").alias("total_tokens"),
