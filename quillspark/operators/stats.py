@@ -20,10 +20,12 @@ def top_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def _totals(df: DataFrame, n_tokens: Column, n_kept: Column, n_chars: Column, tokens: Column) -> DataFrame:
-    """The totals of posts whose numbers and tokens are worked out and written once: the totals and the distinct tokens read them."""
+def _totals(df: DataFrame, n_tokens: Column, n_kept: Column, n_chars: Column, tokens: Column, written: bool = False) -> DataFrame:
+    """The totals and the distinct tokens.  Both read the posts' numbers and tokens; where these take long to make, they are ``written`` first."""
     numbers = {"t": n_tokens.cast("bigint"), "k": n_kept.cast("bigint"), "c": n_chars.cast("bigint"), "tokens": tokens}
-    per_post = materialize(df.select(*[c.alias(name) for name, c in numbers.items()]), "post-totals")
+    per_post = df.select(*[c.alias(name) for name, c in numbers.items()])
+    if written:
+        per_post = materialize(per_post, "post-totals")
     distinct = explode_rows(per_post, [], "tokens", "token").agg(F.countDistinct("token").alias("d")).scalar()
     return per_post.agg(
         F.count(F.lit(1)).alias("n_posts"),
@@ -47,14 +49,14 @@ def corpus_totals_norm(df: DataFrame, text_col: str = "text", tokens_col: str =
     """The same over normalised tokens; the token total stays that of the blank split."""
     tokens = F.col(tokens_col)
     return _totals(
-        df, F.size(F.split(F.col(text_col), " ")), F.size(tokens), F.length(F.array_join(tokens, " ")), tokens
+        df, F.size(F.split(F.col(text_col), " ")), F.size(tokens), F.length(F.array_join(tokens, " ")), tokens, written=True
     )
 
 
 def corpus_totals_clean(df: DataFrame, text_col: str = "text_clean", tokens_col: str = "tokens_clean") -> DataFrame:
     """The same over cleaned text and tokens."""
     tokens = F.col(tokens_col)
-    return _totals(df, F.size(tokens), F.size(tokens), F.length(text_col), tokens)
+    return _totals(df, F.size(tokens), F.size(tokens), F.length(text_col), tokens, written=True)
 
 
 def count_by(df: DataFrame, key: Column | str, name: str, count: str = "n") -> DataFrame:
