@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.rows import explode_rows
 from quillspark.functions import constants as C
 from quillspark.operators.joins import term_join
+from quillspark.session import materialize
 
 
 #: Share of the corpus that one update of the topic model reads.
@@ -136,6 +141,61 @@ def umass_coherence(
     return scored.groupBy("topic").agg(F.avg(value).alias("coherence"))
 
 
+#: Entries of runs times ranks that a task works on at once (a post is never cut).
+_RUN_ENTRIES = 1 << 22
+
+
+def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(topic, m, l, n): windows that hold both ranks, from lists of hits (since, until, rank) with their topic, run by run of lists."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("hits")).to_numpy())
+        n_ranks = pc.count_distinct(batch.column("hits").flatten().field("rank")).as_py()
+        run = (ends - 1) * 2 * n_ranks // _RUN_ENTRIES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                names = batch.column("topic").slice(a, b - a).dictionary_encode("encode")
+                codes = names.indices.to_numpy()
+                text, rank, length, held = _window_runs(batch.column("hits").slice(a, b - a))
+                for code, name in enumerate(names.dictionary):
+                    at = codes[text] == code
+                    inside = held[at]
+                    both = inside.T @ (inside * length[at, None])  # whole numbers below 2^53: exact
+                    m, low = np.nonzero(both)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name.as_py()] * len(m), names.dictionary.type), pa.array(rank[m]), pa.array(rank[low]), pa.array(both[m, low].astype(np.int64))],
+                        names=["topic", "m", "l", "n"],
+                    )
+
+
+def _window_runs(hits: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with the same ranks, all lists at once: list, ranks met, length of each run, and which ranks it holds (0 or 1).
+
+    Hits of a rank that meet or overlap are one interval, so the work follows hits and result, not their product.
+    """
+    sizes = pc.list_value_length(hits).to_numpy()
+    since, until, rank = (x.to_numpy().astype(np.int64) for x in hits.flatten().flatten())
+    owner = np.repeat(np.arange(len(hits)), sizes)
+    order = np.lexsort((since, rank, owner))
+    since, until, rank, owner = since[order], until[order], rank[order], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (rank[1:] != rank[:-1])
+    group = np.cumsum(new) << 32
+    reach = np.maximum.accumulate(group + until)
+    first = np.flatnonzero(np.concatenate((new[:1], group[1:] + since[1:] > reach[:-1])))
+    last = np.append(first[1:], len(owner))[: len(first)] - 1
+    begin, end = (owner[first] << 32) + since[first], (owner[first] << 32) + reach[last] - group[last]
+    edges = np.unique(np.concatenate((begin, end)))
+    begin, end = np.searchsorted(edges, begin), np.searchsorted(edges, end)
+    covered = end - begin
+    run = np.repeat(begin - np.cumsum(covered) + covered, covered) + np.arange(covered.sum())
+    ranks, column = np.unique(rank[first], return_inverse=True)
+    held = np.zeros((len(edges), len(ranks)))
+    held[run, np.repeat(column, covered)] = 1
+    # what lies between a list's last edge and the next list's first is no run: nothing is held there
+    return edges >> 32, ranks, np.append(np.diff(edges), 0), held
+
+
 def npmi_coherence(
     df: DataFrame, topics: DataFrame, tokens_col: str = "tokens", id_col: str = "id", window: int = 110
 ) -> DataFrame:
@@ -143,8 +203,8 @@ def npmi_coherence(
 
     Windows are cut inside each post.  The set of topic terms in the window
     changes only where a hit comes in or drops out, so a post gives at most two
-    sets per hit, each with the number of windows that hold it.  Sets are
-    counted; vectors of normalised pointwise mutual information are then
+    sets per hit, each with the number of windows that hold it.  Pairs of ranks
+    are counted where a post's hits meet; vectors of normalised pointwise mutual information are then
     compared with the vector of the whole topic by cosine.
     """
     words = df.select(id_col, F.size(tokens_col).alias("size"), F.posexplode(tokens_col).alias("pos", "term"))
@@ -155,23 +215,13 @@ def npmi_coherence(
     since = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     until = F.least(F.col("pos"), F.greatest(F.col("size") - window, F.lit(0))) + 1
     held = hits.select(id_col, since.alias("since"), until.alias("until"), F.explode("uses").alias("u"))
-    post = held.groupBy(id_col, F.col("u.topic").alias("topic")).agg(F.collect_list(F.struct("since", "until", "u.rank")).alias("hits"))
-    edges = F.array_sort(F.array_distinct(F.concat(F.transform("hits", lambda h: h["since"]), F.transform("hits", lambda h: h["until"]))))
-    post = post.withColumn("edges", edges)
-    spans = F.transform(
-        F.slice("edges", F.lit(1), F.size("edges") - 1),
-        lambda start, i: F.struct(
-            F.sort_array(F.array_distinct(F.transform(
-                F.filter("hits", lambda h: (h["since"] <= start) & (h["until"] > start)), lambda h: h["rank"]
-            ))).alias("ranks"),
-            (F.element_at("edges", i + 2) - start).alias("n"),
-        ),
-    )
-    sets = post.select("topic", F.explode(spans).alias("s")).where(F.size("s.ranks") > 0)
-    opened = sets.groupBy("topic", F.col("s.ranks").alias("ranks")).agg(F.sum("s.n").alias("n"))
-    pairs = F.flatten(F.transform("ranks", lambda m: F.transform("ranks", lambda x: F.struct(m.alias("m"), x.alias("l")))))
-    joint = opened.select("topic", "n", F.explode(pairs).alias("p")).groupBy("topic", "p.m", "p.l").agg(F.sum("n").alias("n"))
+    post = held.groupBy(id_col, F.col("u.topic").alias("topic")).agg(F.collect_list(F.struct("since", "until", F.col("u.rank").cast("long").alias("rank"))).alias("hits"))
+    kind = post.schema["topic"].dataType.simpleString()
+    counted = post.select("topic", "hits").mapInArrow(_window_pairs, f"topic {kind}, m long, l long, n long")
+    joint = counted.groupBy("topic", "m", "l").agg(F.sum("n").alias("n"))
+    joint = materialize(joint, "joint-windows")  # read three times; pairs of listed terms only
     ranked = topics.groupBy("topic").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+    pairs = F.flatten(F.transform("ranks", lambda m: F.transform("ranks", lambda x: F.struct(m.alias("m"), x.alias("l")))))
     wanted = ranked.select("topic", F.explode(pairs).alias("p")).select("topic", "p.m", "p.l")
     single = joint.where("m = l")
     total = n_windows.cast("double")

@@ -70,3 +70,16 @@ def test_vectors_of_one_value_stay(spark):
     lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     assert readers.parse_vectors(lines("a 1.5", "b 2")).count() == 2
     assert {r["word"] for r in readers.parse_vectors(lines("2 3", "a 1 2 3", "b 4 5 6 ")).collect()} == {"a", "b"}
+
+
+def test_window_measure_is_linear_in_a_post(spark):
+    """A post of 20,000 hits; comparing each run of windows with all hits took their product."""
+    posts = [[f"t{(k * k) % 7 % 4}" if k % 5 else "x" for k in range(20_000)]]
+    got = topics.npmi_coherence(*frames(spark, ["t0", "t1", "t2", "t3"], posts), window=3).first()["coherence"]
+    windows = [set(posts[0][k : k + 3]) for k in range(20_000 - 2)]
+    terms = ["t0", "t1", "t2", "t3"]
+    p = {(a, b): sum(a in w and b in w for w in windows) / len(windows) for a in terms for b in terms}
+    rows = [[math.log((p[a, b] + 1e-12) / (p[a, a] * p[b, b])) / -math.log(p[a, b] + 1e-12) if p[a, a] and p[b, b] else 0.0 for b in terms] for a in terms]
+    whole = [sum(r[k] for r in rows) for k in range(4)]
+    cos = [sum(x * y for x, y in zip(r, whole, strict=True)) / (math.hypot(*r) * math.hypot(*whole)) if any(r) else 0.0 for r in rows]
+    assert got == pytest.approx(sum(cos) / 4, abs=1e-9)
