@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +64,18 @@ def doc_term_matrix(df: DataFrame, dictionary: DataFrame, tokens_col: str = "tok
     return joined.select(id_col, "term_id", "n")
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, posts, n) of each batch of token lists: posts that hold the term, and all its occurrences."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        coded = lists.flatten().dictionary_encode()
+        codes, size = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        posts = np.bincount(np.unique(owner * size + codes) % size, minlength=len(coded.dictionary))
+        n = np.bincount(codes, minlength=len(coded.dictionary))
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(posts), pa.array(n)], names=["term", "posts", "n"])
+
+
 def fit_bag_of_words(
     df: DataFrame,
     tokens_col: str = "tokens",
@@ -71,9 +83,21 @@ def fit_bag_of_words(
     max_share: float = C.DICTIONARY_MAX_SHARE,
     keep: int = C.DICTIONARY_KEEP,
 ) -> CountVectorizerModel:
-    return CountVectorizer(
-        inputCol=tokens_col, outputCol="bow", minDF=float(min_docs), maxDF=float(max_share), vocabSize=keep
-    ).fit(df)
+    """Count vectors of the ``keep`` most frequent terms (then by term) of enough and not too many posts.
+
+    Bounds from 1 on are numbers of posts, smaller ones shares of them, as Spark's vectorizer has it.  Its own fit
+    keeps every post's tokens as cached objects and reads them again; here terms are counted batch by batch before
+    the shuffle and only the vocabulary comes to the driver.
+    """
+    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    counted = df.select(F.filter(tokens_col, lambda t: t.isNotNull()).alias("tokens")).where("tokens IS NOT NULL").mapInArrow(_term_counts, "term string, posts long, n long")
+    freq = counted.groupBy("term").agg(F.sum("posts").alias("posts"), F.sum("n").alias("n"))
+    low, high = (F.lit(float(x)) * (1 if x >= 1 else n_docs) for x in (min_docs, max_share))
+    kept = freq.where((F.col("posts") >= low) & (F.col("posts") <= high)).orderBy(F.desc("n"), F.asc("term")).limit(keep)
+    vocabulary = kept.select("term").toArrow().column("term").to_pylist()
+    if not vocabulary:
+        raise ValueError("no term is in enough and not too many posts")
+    return CountVectorizerModel.from_vocabulary(vocabulary, tokens_col, "bow")
 
 
 def train_lda(

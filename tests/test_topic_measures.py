@@ -83,3 +83,24 @@ def test_window_measure_is_linear_in_a_post(spark):
     whole = [sum(r[k] for r in rows) for k in range(4)]
     cos = [sum(x * y for x, y in zip(r, whole, strict=True)) / (math.hypot(*r) * math.hypot(*whole)) if any(r) else 0.0 for r in rows]
     assert got == pytest.approx(sum(cos) / 4, abs=1e-9)
+
+
+def bags(spark):
+    rng = random.Random(3)
+    posts = [[f"w{int(rng.paretovariate(1)) % 60}" for _ in range(rng.randint(0, 40))] for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(posts)), "id long, tokens array<string>").cache()
+    return posts, df, topics.fit_bag_of_words(df, "tokens", 5, 0.9)
+
+
+def test_vocabulary_is_counted_without_cached_posts(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *_: pytest.fail("Spark's fit caches the tokens of all posts"))
+    posts, _, model = bags(spark)
+    n, seen = {}, {}
+    for post in posts:
+        for t in post:
+            n[t] = n.get(t, 0) + 1
+        for t in set(post):
+            seen[t] = seen.get(t, 0) + 1
+    assert model.vocabulary == sorted((t for t in n if 5 <= seen[t] <= 0.9 * len(posts)), key=lambda t: (-n[t], t))
