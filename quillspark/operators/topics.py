@@ -277,9 +277,80 @@ def top_topics(topics: DataFrame, coherence: DataFrame) -> DataFrame:
     return topics.join(coherence, "topic").orderBy(F.desc("coherence"), F.asc("topic"), F.asc("rank"))
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive numbers: eight steps up, then the asymptotic series."""
+    steps = sum(1 / (x + k) for k in range(8))
+    y = 1 / (x + 8) ** 2
+    return np.log(x + 8) - 0.5 / (x + 8) - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - steps
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma for positive numbers, in the same way."""
+    steps = sum(np.log(x + k) for k in range(8))
+    z = x + 8
+    y = 1 / z**2
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+#: Numbers (entries of posts times topics) that a task works on at once.
+_BOUND_NUMBERS = 1 << 21
+
+
+def _post_bounds(expected: np.ndarray, alpha: np.ndarray, at: np.ndarray, n: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> float:
+    """Sum over posts of E[log p(post | theta, beta)] + E[log p(theta | alpha) - log q(theta | gamma)]."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    # a post's gamma sums to alpha's sum and its tokens
+    gamma = shares * (alpha.sum() + np.bincount(owner, n, len(sizes)))[:, None]
+    whole = gamma.sum(axis=1)
+    theta = _digamma(gamma) - _digamma(whole)[:, None]
+    x = theta[owner] + expected[at]
+    top = x.max(axis=1)
+    words = n @ (top + np.log(np.exp(x - top[:, None]).sum(axis=1)))
+    rest = ((alpha - gamma) * theta).sum() + (_log_gamma(gamma) - _log_gamma(alpha)).sum() - _log_gamma(whole).sum()
+    return float(words + rest + len(sizes) * _log_gamma(alpha.sum()))
+
+
 def log_perplexity(model: LDAModel, bags: DataFrame) -> float:
-    """Per-word likelihood bound (negative; Spark's own figure is its upper bound on perplexity)."""
-    return -model.logPerplexity(bags)
+    """Per-word likelihood bound (negative; Spark's own figure is its upper bound on perplexity).
+
+    Spark's ``logPerplexity`` takes the exponential of the whole matrix of terms and topics for every post, so its time
+    grows with posts times vocabulary.  Here the posts' topics come from the model's ``transform``, and a post's part
+    of the same bound from its own terms.  The model's matrix is broadcast, as Spark's own inference does.
+    """
+    if model.isDistributed():
+        return -model.logPerplexity(bags)
+    weights, alpha = model.topicsMatrix().toArray(), model.estimatedDocConcentration().toArray()
+    n_terms, k = weights.shape
+    eta = model.getTopicConcentration() if model.isSet("topicConcentration") else 1 / k
+    totals = weights.sum(axis=0)
+    expected = _digamma(weights) - _digamma(totals)
+    shared = bags.sparkSession.sparkContext.broadcast((expected, alpha))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected, alpha = shared.value
+        for batch in batches:
+            at, n, shares = (batch.column(c) for c in ("at", "n", "shares"))
+            ends = np.cumsum(pc.list_value_length(at).to_numpy())
+            run = (ends - 1) * k // _BOUND_NUMBERS
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    counts = n.slice(a, b - a).flatten().to_numpy()
+                    sizes = pc.list_value_length(at.slice(a, b - a)).to_numpy()
+                    bound = _post_bounds(expected, alpha, at.slice(a, b - a).flatten().to_numpy(), counts, sizes, shares.slice(a, b - a).flatten().to_numpy().reshape(-1, k))
+                    yield pa.RecordBatch.from_pydict({"bound": [bound], "tokens": [float(counts.sum())]})
+
+    bag = F.unwrap_udt(model.getFeaturesCol())
+    # a dense vector (type 1) has no list of places
+    places = F.when(bag["type"] == 0, bag["indices"]).otherwise(F.sequence(F.lit(0), F.size(bag["values"]) - 1))
+    shares = F.unwrap_udt(model.getTopicDistributionCol())["values"]
+    rows = model.transform(bags).select(places.alias("at"), bag["values"].alias("n"), shares.alias("shares"))
+    rows = rows.where(F.exists("n", lambda x: x != 0))  # a post without a term has no part in it
+    posts = rows.mapInArrow(run, "bound double, tokens double").agg(F.sum("bound").alias("bound"), F.sum("tokens").alias("tokens")).first()
+    topics = ((eta - weights) * expected).sum() + (_log_gamma(weights) - _log_gamma(np.float64(eta))).sum()
+    topics += k * _log_gamma(np.float64(eta * n_terms)) - _log_gamma(totals).sum()
+    return float((posts["bound"] + topics) / posts["tokens"])
 
 
 def topic_diff(left: DataFrame, right: DataFrame, distance: str = "kullback_leibler") -> DataFrame:

@@ -104,3 +104,13 @@ def test_vocabulary_is_counted_without_cached_posts(spark, monkeypatch):
         for t in set(post):
             seen[t] = seen.get(t, 0) + 1
     assert model.vocabulary == sorted((t for t in n if 5 <= seen[t] <= 0.9 * len(posts)), key=lambda t: (-n[t], t))
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_perplexity_equals_spark_without_its_cost_per_post(spark, monkeypatch, k):
+    _, df, vectorizer = bags(spark)
+    bow = vectorizer.transform(df)
+    model = topics.train_lda(bow, k)
+    expected = -model.logPerplexity(bow)
+    monkeypatch.setattr(type(model), "logPerplexity", lambda *_: pytest.fail("posts times vocabulary"))
+    assert topics.log_perplexity(model, bow) == pytest.approx(expected, abs=1e-4)
