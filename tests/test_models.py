@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from quillspark.catalog import models
 from quillspark.operators import classify, explain, ngrams, vectors
 from quillspark.sources import readers, writers
 
@@ -132,3 +133,24 @@ def test_folds_of_the_grid_hold_no_texts(spark, monkeypatch):
     monkeypatch.setattr(classify.CrossValidator, "fit", lambda self, rows: held.append(rows.columns))
     classify.grid_search(toy(spark).withColumn("text", F.lit("a text")), ["f"], folds=2)
     assert held == [["f", "y"]]
+
+
+def test_an_unbounded_vocabulary_needs_no_counting_pass(spark, monkeypatch):
+    def counted(*_):
+        raise AssertionError("the vocabulary was counted ahead of the fit")
+
+    monkeypatch.setattr(ngrams, "fit_vocabulary", counted)
+    monkeypatch.setattr(classify, "fit_vocabulary", counted, raising=False)
+    model = classify.train_naive_bayes(toy(spark))
+    words = {t for r in toy(spark).collect() for t in r["ngrams"]}
+    assert set(model.stages[0].vocabulary) == words == set(ngrams.fit_count_vectorizer(toy(spark)).vocabulary)
+    assert len(classify.train_naive_bayes(toy(spark), max_vocab=1).stages[0].vocabulary) == 1
+
+
+def test_training_table_holds_the_lists_that_are_read(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "ab cd" if k % 2 else "ef gh", "target" if k % 2 else "background") for k in range(40)], "id long, text string, label string")
+    monkeypatch.setattr(models, "labelled", lambda *_: rows)
+    assert not {"ngrams", "char_ngrams"} & set(models.training(spark, "").columns)
+    table = models.training(spark, "", "ngrams")
+    assert "char_ngrams" not in table.columns and sorted(table.where("id = 1").first()["ngrams"]) == ["ab", "cd"]
+    assert models.training(spark, "", "char_ngrams").where("id = 1").first()["char_ngrams"] == ["ab ", "b c", " cd"]
