@@ -62,3 +62,16 @@ def test_a_table_of_part_files_streams_like_one_file(spark, tmp_path):
     posts.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert files.stream_all_features(spark, str(tmp_path)).count() == 20
     assert files.stream_features(spark, str(tmp_path)).count() == 20
+
+
+def test_the_stream_query_has_the_features_of_all_levels(spark, tmp_path):
+    from quillspark.catalog import files
+
+    texts = ["Good day, gud people! He walked.", "", None, "   ", "no \"quoted bit\" 3.5 ..."]
+    rows = [(i, t, "en", "s1", 30) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "good day")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["id"]: r for r in files.stream_features(spark, str(tmp_path)).collect()}
+    assert set(got[0].asDict()) == {"id", *features.feature_names(with_vocabulary=True)}
+    assert got[0]["n_sents"] == 2 and got[0]["nonstandard_spelling"] == round(4 / 6, 9) and got[0]["past_tense_words"] == round(1 / 6, 9)
+    assert got[1]["n_sents"] == got[3]["n_sents"] == 0 and got[2]["n_sents"] is None
