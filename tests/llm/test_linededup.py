@@ -73,3 +73,14 @@ def test_words_made_to_collide_stay_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["removed"] for r in L.repeated_lines(docs).collect()}
     assert got == {1: [], 2: [], 3: [0], 4: [], 5: [], 6: [], 7: []}
+
+
+def test_long_lines_that_only_look_alike_do_not_travel(spark, monkeypatch):
+    """A map of 64 bits says little about lines of 90 words; one of 128 bits tells most of them apart before a line is fetched."""
+    rng = random.Random(5)
+    rare = [f"r{k}" for k in range(100)]
+    rows = [(i, " ".join([*rng.sample(rare, 20), *(f"t{rng.randrange(100)}" for _ in range(120))])) for i in range(120)]
+    fetched, lines_of = [], L.lines_of
+    monkeypatch.setattr(L, "lines_of", lambda wanted, *more: fetched.append(wanted.count()) or lines_of(wanted, *more))
+    assert found(spark, rows) == brute(rows)
+    assert sum(fetched) < 60  # with 64 bits 240

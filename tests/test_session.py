@@ -20,3 +20,15 @@ def test_discarded_table_is_gone(spark):
     assert table.count() == 5 and files
     session.discard(table)
     assert not os.path.exists(files[0].removeprefix("file://"))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before = files()
+    rows = spark.range(1000).selectExpr("id % 10 AS k", "id")
+    written = session.materialize(rows.groupBy("k").sum("id").join(rows.groupBy("k").count(), "k"))
+    assert not files() - before
+    assert written.count() == 10 and spark.conf.get(session.DROP_SHUFFLES, "false") == "false"
