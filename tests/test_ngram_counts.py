@@ -43,3 +43,19 @@ def test_char_ngrams_equal_slices(spark, monkeypatch):
         monkeypatch.setattr(T, "RUN_BYTES", size)
         assert T._char_runs(sliced, 2).to_pylist() == [["ab", "bc", "cd"], [], ["é€"]]
     assert T._char_runs(sliced.slice(0, 0), 2).to_pylist() == []
+
+
+def test_lists_are_counted_where_they_are_made(spark, monkeypatch):
+    """No list of n-grams is a column, and the counts are those of the lists."""
+    from quillspark.operators import features
+
+    texts = ["", "a", "abc", None, "ä😀ß  c", "The dog ran. It was 3 km, quickly!", "abcabcabc", "The dog ran. The cat ran."] * 3
+    df = spark.createDataFrame([(k // 2 if k % 7 else None, t) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    monkeypatch.setattr(T, "RUN_BYTES", 20)
+    for made in (ngrams.with_char_ngrams(df, 3), features.with_pos_ngrams(df)):
+        counted = ngrams.ngram_counts(made)
+        assert "ngrams" not in counted._jdf.queryExecution().executedPlan().toString()
+        want = ngrams.ngram_counts(made.select("id", "ngrams"))  # another table: the lists are made
+        assert "ngrams" in want._jdf.queryExecution().executedPlan().toString()
+        rows_of = lambda x: sorted(map(str, x.collect()))
+        assert rows_of(counted) == rows_of(want) and counted.count()
