@@ -40,8 +40,6 @@ RARITY_BITS, PART = 24, 1 << 16
 PICK_BITS = 26
 #: Candidates that a set tries at a prefix word before the exhaustive second round.
 TRIES = 1
-#: Bytes of text that a task works on at once; what it makes of them is some eighty times as large.
-SLICE = 1 << 20
 #: Columns of a set's map, 64 bits each.
 MAPS = ["m0", "m1"]
 
@@ -61,7 +59,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << RARITY_BITS, np.int32)
-        for batch in W.slices(batches, "text", SLICE):
+        for batch in W.slices(batches, "text", W.SLICE):
             hashes = W.hashed_words(W.as_strings(batch.column("text")))[0]
             bucket, n = np.unique(hashes >> np.uint64(64 - RARITY_BITS), return_counts=True)
             seen[bucket.astype(np.int64)] += n.astype(np.int32)
@@ -137,7 +135,7 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     names = ["doc_id", "row", "line_no", "s1", "s2", "n", "prefix", "places", *MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text", SLICE):
+        for batch in W.slices(batches, "text", W.SLICE):
             sets = LineSets(W.as_strings(batch.column("text")), levels.value)
             text, number = sets.owner()
             bounds, keys, places = sets.prefixes(similarity)
@@ -299,7 +297,7 @@ def lines_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str,
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             hit = pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0)
-            for part in W.slices([batch.filter(hit)], "text", SLICE):
+            for part in W.slices([batch.filter(hit)], "text", W.SLICE):
                 lines, bounds = W.split_lines(W.as_strings(part.column("text")))
                 text = W.owners(bounds)
                 number = np.arange(len(text)) - bounds[text]

@@ -141,7 +141,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", W.SLICE):
             counts, key, signatures = sign_batch(batch.column("text"))
             keep = counts > 0
             bands = band_keys(signatures[keep])

@@ -133,7 +133,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", W.SLICE):
             found = measure_batch(batch.column("text"))
             columns = [batch.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *MEASURES])

@@ -98,6 +98,10 @@ def window_hashes(codes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
     return mix(total[starts]), inside
 
 
+#: Bytes of text that a task works on at once where what it makes of them is many times as large.
+SLICE = 1 << 20
+
+
 def slices(batches, column: str, limit: int = 4 << 20):
     """The batches cut into runs of rows with about ``limit`` bytes of text each, so that long texts do not add up."""
     for batch in batches:
